@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftline.lineage import cut
 from weftline.llm.text import slices
-from weftline.llm.tokens import encoder
+from weftline.llm.tokens import ENCODED_ROWS, encoder
 
 #: Pieces that one task packs, in the mean.
 BLOCK_PIECES = 8192
@@ -66,7 +66,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         end = np.uint32(end_id).tobytes()
-        for part in slices(batches):
+        for part in slices(batches, ENCODED_ROWS):
             rows = []
             for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
                 data = memoryview(ids + end)

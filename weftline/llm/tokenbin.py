@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from weftline.lineage import cut, new_folder
 from weftline.llm.files import create, open_file
 from weftline.llm.text import slices
-from weftline.llm.tokens import encoder
+from weftline.llm.tokens import ENCODED_ROWS, encoder
 
 FRAME_IDS = 1 << 16
 _INDEX_MAGIC, _TABLE_MAGIC, _FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -42,7 +42,7 @@ NULL, BEFORE, AFTER = 4, 1, 2
 class Writer:
     """Appends documents in order; ``close`` writes index and table."""
 
-    def __init__(self, f, width: int = 2, level: int = 3):
+    def __init__(self, f, width: int = 2, level: int = 1):
         self.f, self.width, self.level = f, width, level
         self.pack = zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.parts: list[tuple[int, int, int]] = []
@@ -157,7 +157,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
         enc, out, first = encoder(vocabulary), None, None
         width = 2 if max(enc.library.get_vocab_size(with_added_tokens=True) - 1, end_id) < 65536 else 4
         end = np.array([end_id], np.uint32)
-        for part in slices(batches):
+        for part in slices(batches, ENCODED_ROWS):
             for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
                 if out is None:
                     uri, f = create(folder, ".tok.zst")

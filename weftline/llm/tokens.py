@@ -1,6 +1,6 @@
 """Token ids of the tokenizers library, with a cache of pre-tokens.
 
-The library's own result is kept: texts are cut into pre-tokens as its
+The library's own result is kept: texts are cut into pre-tokens as the
 vocabulary file says, each distinct pre-token is encoded once by the library,
 and the ids are put together. Texts with characters outside a plain set, where
 two regex engines might cut in two ways, go through the library as a whole.
@@ -9,18 +9,27 @@ two regex engines might cut in two ways, go through the library as a whole.
 from __future__ import annotations
 
 import os
+import re
 from array import array
+from itertools import pairwise
 
-import regex
+import numpy as np
 
 #: Pre-tokens in each of the two generations that a worker holds.
 CACHE = 400_000
-#: Letters, digits and punctuation on whose classes all Unicode versions agree; no combining marks, no controls.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-įı-ſ–—‘-”…€]*+")
-_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-_PATTERNS = {
-    "byte_level": regex.compile(rf"{_CONTRACTIONS}| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+"),
-    "word_end": regex.compile(rf"{_CONTRACTIONS}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+"),
+#: Rows that are encoded at once, and pre-tokens in one string for the library.
+ENCODED_ROWS, JOINED = 512, 200
+# Letters, digits and the other characters of plain texts: those on whose classes all Unicode versions agree,
+# without combining marks and controls. Within them, the classes of the vocabularies' patterns can be written out.
+_LETTERS, _DIGITS, _OTHERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ", "0-9²³¹¼½¾", "!-/:-@\\[-`{-~¡-©«¬®-±´¶-¸»¿×÷–—‘-”…€"
+_PLAIN = re.compile(f"[\t\n\r {_LETTERS}{_DIGITS}{_OTHERS}]*+")
+_CONTRACTIONS = "'(?:[stmd]|re|ve|ll)"
+#: The rule that a vocabulary file with word ends must state for its pre-tokens.
+_WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What each kind of vocabulary says of pre-tokens, for plain texts. No alternative can match where an earlier one was left out.
+_FIND = {
+    "byte_level": re.compile(rf" ?[{_LETTERS}]+|{_CONTRACTIONS}| ?[{_OTHERS}]+| ?[{_DIGITS}]+|\s+(?!\S)|\s+").findall,
+    "word_end": re.compile(f"[{_LETTERS}]+|{_CONTRACTIONS}|[{_OTHERS}]+|[{_DIGITS}]").findall,
 }
 _LOADED: dict[str, Encoder] = {}
 
@@ -43,7 +52,7 @@ class Encoder:
         parts = [p["type"] for p in pre.get("pretokenizers", [])]
         if not kinds and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
             self.kind = "byte_level"
-        elif kinds == ["NFC", "Replace", "Lowercase"] and parts == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["pattern"]["Regex"] == _PATTERNS["word_end"].pattern:
+        elif kinds == ["NFC", "Replace", "Lowercase"] and parts == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["pattern"]["Regex"] == _WORD_RULE:
             self.kind = "word_end"
         else:
             self.kind = ""
@@ -53,34 +62,41 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def plain(self, text: str) -> bool:
-        return bool(self.kind) and _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
+    def _new(self, words: set[str]) -> None:
+        """Fills the cache. Words of letters are encoded many to a string, of which each is a pre-token again."""
+        lead = self.kind == "byte_level"
+        letters = [w for w in words if (w[0] == " " and w[1:].isalpha() if lead else w.isalpha())]
+        rest = list(words.difference(letters))
+        self.cache.update(zip(rest, self._whole(rest), strict=True))
+        for at in range(0, len(letters), JOINED):  # one string at a time: what the library returns is large
+            group = letters[at : at + JOINED]
+            e = self.library.encode(("" if lead else " ").join(group), add_special_tokens=False)
+            of = np.array(e.word_ids)
+            ends = [0, *(4 * (np.flatnonzero(of[1:] != of[:-1]) + 1)).tolist(), 4 * len(of)]
+            ids = array("I", e.ids).tobytes()
+            self.cache.update(zip(group, (ids[a:b] for a, b in pairwise(ends)), strict=True))
+
+    def words(self, text: str) -> list[str] | None:
+        """The pre-tokens of a plain text; None if the library has to see it whole."""
+        if not self.kind or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+            return None
+        return _FIND[self.kind](text.lower() if self.kind == "word_end" else text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        cut: dict[int, list[str]] = {}
-        find = _PATTERNS[self.kind].findall if self.kind else None
-        rest = []
-        for i, t in enumerate(texts):
-            if self.plain(t):
-                cut[i] = find(t.lower() if self.kind == "word_end" else t)
-            else:
-                rest.append(i)
-        for i, ids in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
-            out[i] = ids
-        need = set().union(*cut.values()) if cut else set()
+        cut = [self.words(t) for t in texts]
+        rest = iter(self._whole([t for t, words in zip(texts, cut, strict=True) if words is None]))
+        need = set().union(*(words for words in cut if words))
         if len(self.cache) > CACHE:
             self.cache, self.older = {}, self.cache
-        new = [w for w in need if w not in self.cache]
+        need.difference_update(self.cache)
         if self.older:
-            self.cache.update((w, self.older[w]) for w in new if w in self.older)
-            new = [w for w in new if w not in self.older]
-        self.cache.update(zip(new, self._whole(new), strict=True))
+            known = need.intersection(self.older)
+            self.cache.update((w, self.older[w]) for w in known)
+            need -= known
+        self._new(need)
         get = self.cache.__getitem__
-        for i, words in cut.items():
-            out[i] = b"".join(map(get, words))
-        return out
+        return [next(rest) if words is None else b"".join(map(get, words)) for words in cut]
 
 
 def encoder(path: str) -> Encoder:
