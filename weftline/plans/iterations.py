@@ -90,7 +90,7 @@ def branch_and_bound(spark, sf_dir):
 
 def task_graph(spark, sf_dir):
     """Levels of a graph in which task k needs k / 2 and k - 7."""
-    tasks = load(spark, sf_dir, "part").where("p_partkey <= 120").select(F.col("p_partkey").alias("task"))
+    tasks = load(spark, sf_dir, "part").where("p_partkey <= 40").select(F.col("p_partkey").alias("task"))
     deps = tasks.select("task", F.explode(F.array(F.floor(F.col("task") / 2), F.col("task") - 7)).alias("needs")).where("needs >= 1")
     return I.task_levels(tasks, deps)
 
@@ -214,7 +214,7 @@ SPECS = {
     "queens": (queens, "WITH RECURSIVE q(r, c) AS (SELECT 1, [k] FROM (SELECT unnest(range(7)) AS k) UNION ALL SELECT r + 1, list_append(c, k) FROM q, (SELECT unnest(range(7)) AS k) WHERE r < 7 AND len(list_filter(c, lambda x, i: x = k OR abs(x - k) = r + 1 - i)) = 0) SELECT count(*) AS solutions FROM q WHERE r = 7"),
     "ida_star": (ida_star, "WITH RECURSIVE s(x, g) AS (SELECT 1, 0::BIGINT UNION SELECT unnest([x + 1, x * 2]), g + 1 FROM s WHERE g < 9 AND x <= 100) SELECT min(g) AS steps FROM s WHERE x = 100"),
     "branch_and_bound": (branch_and_bound, f"WITH RECURSIVE c AS (SELECT unnest(range(6)) AS k, unnest({[a for a, _ in _CITIES]}) AS x, unnest({[b for _, b in _CITIES]}) AS y), t(p, l, d) AS (SELECT [0::BIGINT], 0::BIGINT, 0.0::DOUBLE UNION ALL SELECT list_append(p, b.k), b.k, d + sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) FROM t JOIN c a ON a.k = l, c b WHERE NOT list_contains(p, b.k)) SELECT round(min(d + sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) AS tour_length FROM t JOIN c a ON a.k = l JOIN c b ON b.k = 0 WHERE len(p) = 6"),
-    "task_graph": (task_graph, "WITH RECURSIVE d AS (SELECT p_partkey AS task, unnest([p_partkey // 2, p_partkey - 7]) AS needs FROM part WHERE p_partkey <= 120), l(task, level) AS (SELECT p_partkey, 0::BIGINT FROM part WHERE p_partkey <= 120 UNION SELECT d.task, level + 1 FROM l JOIN d ON d.needs = l.task) SELECT task, max(level) AS level FROM l GROUP BY 1"),
+    "task_graph": (task_graph, "WITH RECURSIVE d AS (SELECT p_partkey AS task, unnest([p_partkey // 2, p_partkey - 7]) AS needs FROM part WHERE p_partkey <= 40), l(task, level) AS (SELECT p_partkey, 0::BIGINT FROM part WHERE p_partkey <= 40 UNION SELECT d.task, level + 1 FROM l JOIN d ON d.needs = l.task AND d.needs >= 1) SELECT task, max(level) AS level FROM l GROUP BY 1"),
     "greedy_packing": (greedy_packing, "SELECT p_partkey % 4 AS pe_group, 8::BIGINT AS bins, true AS even FROM part GROUP BY 1"),
     "greedy_refine": (greedy_refine, "SELECT p_partkey % 4 AS pe_group, count(*) AS n, true AS some_stay FROM part GROUP BY 1"),
     "refine_packing": (refine_packing, "SELECT p_partkey % 4 AS pe_group, count(*) AS n, true AS in_range FROM part GROUP BY 1"),
