@@ -15,6 +15,8 @@ from weftline.lineage import cut
 from weftline.llm.text import hashes, lowered_words, shingles, slices
 from weftline.llm.trie import near_links
 
+#: Mean codes below a node where tasks begin, with several codes of a text: each level above costs a copy of all codes.
+STAGE_NODE_CODES = 32_768
 _ONES = np.uint64(0x0101010101010101)
 _BLOCK = 255  # rows whose bits add up in a byte
 
@@ -92,7 +94,7 @@ def expected_difference(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def plan_tables(n: int, similarity: float, budget: int = 3, recall: float = 0.995) -> tuple[int, int]:
+def plan_tables(n: int, similarity: float, budget: int = 3, recall: float = 0.99) -> tuple[int, int]:
     """(bits of a code, number of codes): half a code tells most of n texts apart; enough codes for the recall at the threshold."""
     half = min(32, max(16, n.bit_length() - 3))
     bits, p = 2 * half, expected_difference(similarity)
@@ -148,7 +150,7 @@ def simhash_near_duplicates(docs: DataFrame, width: int = 5, similarity: float =
 
     heads = rows.join(classes.select(F.col("head").alias("id")), "id", "left_semi")
     coded = heads.mapInArrow(codes, "id long, tree long, code long")
-    pairs = cut(near_links(coded, bits, budget).where("a <> b").distinct())
+    pairs = cut(near_links(coded, bits, budget, node_codes=STAGE_NODE_CODES).where("a <> b").distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):

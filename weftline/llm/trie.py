@@ -127,11 +127,12 @@ class Forest:
         return tuple(np.concatenate(x) for x in zip(*self.kept, strict=True))
 
 
-def _join_nodes(frame: pd.DataFrame, middle: int, budget: int) -> pd.DataFrame:
+def _join_nodes(frame: pd.DataFrame, depth: int, middle: int, budget: int) -> pd.DataFrame:
     """Spanning links of one pair of nodes: close codes first, so that a tree is made of its nearest links."""
-    depth, errors = int(frame["depth"].iat[0]), int(frame["err"].iat[0])
-    same = bool((frame["lo"].to_numpy() == frame["hi"].to_numpy())[0])
-    code, member, right = frame["code"].to_numpy().view(np.uint64), frame["id"].to_numpy(), frame["right"].to_numpy().astype(bool)
+    lo, hi = (frame[k].to_numpy().view(np.uint64)[0] for k in ("lo", "hi"))
+    same, errors = lo == hi, int(lo ^ hi).bit_count()
+    code, member = frame["code"].to_numpy().view(np.uint64), frame["id"].to_numpy()
+    right = (code >> np.uint64(64 - depth)) != lo
     sides = []
     for side in (~right, right):
         order = np.lexsort((member[side], code[side]))
@@ -180,18 +181,22 @@ def _masks(bits: int, most: int) -> list[tuple[int, int]]:
 
 
 def _deal(rows: DataFrame, step: int, depth: int, middle: int, budget: int) -> DataFrame:
-    """The rows of pairs of nodes at ``depth``, dealt to the pairs ``step`` levels below."""
+    """The rows (tree, code, id, lo, hi) of pairs of nodes at ``depth``, dealt to the pairs ``step`` levels below.
+
+    lo and hi are the prefixes of the two nodes; a row belongs to the one that
+    its code begins with, and the errors so far are the bits in which they differ.
+    """
     allowed = budget // 2 if depth + step <= middle else budget
     own = F.shiftrightunsigned(F.shiftleft("code", depth), 64 - step)
+    right = F.shiftrightunsigned("code", 64 - depth) != F.col("lo") if depth else F.lit(False)
     masks = F.array(*(F.struct(F.lit(m).cast("long").alias("m"), F.lit(k).alias("k")) for m, k in _masks(step, allowed)))
-    out = rows.withColumn("own", own).withColumn("x", F.explode(masks)).where(F.col("err") + F.col("x.k") <= allowed)
+    out = rows.withColumn("own", own).withColumn("right", right).withColumn("x", F.explode(masks))
+    out = out.where(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) + F.col("x.k") <= allowed)
     other = F.col("own").bitwiseXOR(F.col("x.m"))
     lo = F.shiftleft("lo", step).bitwiseOR(F.when(F.col("right"), other).otherwise(F.col("own")))
     hi = F.shiftleft("hi", step).bitwiseOR(F.when(F.col("right"), F.col("own")).otherwise(other))
-    out = out.select("tree", "code", "id", lo.alias("lo"), hi.alias("hi"), "right", (F.col("err") + F.col("x.k")).alias("err"))
-    # a node meets itself and its partner once: the smaller prefix is on the left
-    turned = F.col("lo") > F.col("hi")
-    return out.select("tree", "code", "id", F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"), F.when(F.col("lo") == F.col("hi"), False).when(turned, ~F.col("right")).otherwise(F.col("right")).alias("right"), "err", F.lit(depth + step).alias("depth"))
+    # a node meets itself and its partner once: the smaller prefix comes first
+    return out.select("tree", "code", "id", lo.alias("lo"), hi.alias("hi")).select("tree", "code", "id", F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"))
 
 
 def near_links(codes: DataFrame, bits: int, budget: int, task_codes: int = TASK_CODES, node_codes: int = NODE_CODES) -> DataFrame:
@@ -211,20 +216,20 @@ def near_links(codes: DataFrame, bits: int, budget: int, task_codes: int = TASK_
     turned = F.shiftleft("code", half).bitwiseOR(F.shiftrightunsigned("code", bits - half).bitwiseAND(F.lit(keep)))
     both = codes.select((F.col("tree") * 2).alias("tree"), "code", "id").unionByName(codes.select((F.col("tree") * 2 + 1).alias("tree"), turned.alias("code"), "id"))
     depth = min(half, max(1, (most // node_codes).bit_length()))
-    root = both.select("tree", "code", "id", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(False).alias("right"), F.lit(0).alias("err"))
+    root = both.select("tree", "code", "id", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
     rows = _deal(root, depth, 0, half, budget)
     key = ["tree", "lo", "hi"]
 
-    def links(dealt: DataFrame) -> DataFrame:
-        return dealt.groupBy(*key).applyInPandas(lambda x: _join_nodes(x, half, budget), "a long, b long")
+    def links(dealt: DataFrame, at: int) -> DataFrame:
+        return dealt.groupBy(*key).applyInPandas(lambda x: _join_nodes(x, at, half, budget), "a long, b long")
 
     done = []
     while True:
         large = cut(rows.groupBy(*key).count().where(F.col("count") > task_codes).select(*key)) if depth + STEP <= bits else None
         if large is None or large.isEmpty():
-            done.append(links(rows))
+            done.append(links(rows, depth))
             break
-        done.append(links(rows.join(large, key, "left_anti")))
+        done.append(links(rows.join(large, key, "left_anti"), depth))
         rows = cut(_deal(rows.join(large, key, "left_semi"), STEP, depth, half, budget))
         depth += STEP
     out = done[0]
