@@ -115,7 +115,8 @@ def simhash_near_duplicates(docs: DataFrame, width: int = 5, similarity: float =
     SimHash codes of independent hashes; classes with any two codes within
     ``budget`` bits are candidates, found by the trie join, nearest first. The
     number of codes follows from the wanted recall at the threshold. Candidates
-    are then compared exactly, on their whole sets of shingles.
+    that are far apart over all codes together are left out; the others are
+    compared exactly, on their whole sets of shingles.
     Null and empty texts are one class. Repeated rows of an id count once; null
     ids are left out.
     """
@@ -141,16 +142,20 @@ def simhash_near_duplicates(docs: DataFrame, width: int = 5, similarity: float =
                 raw = np.unpackbits(fingerprint(t, width, words).view(np.uint8), bitorder="little")[: bits * tables].reshape(tables, bits)
                 wide = np.zeros((tables, 64), np.uint8)
                 wide[:, :bits] = raw
-                out.append(np.packbits(wide, axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64))
-            k = len(out)
-            yield pa.record_batch(
-                [pa.array(np.repeat(np.asarray(part.column(0).to_pylist(), np.int64), tables)), pa.array(np.tile(np.arange(tables, dtype=np.int64), k)), pa.array(np.concatenate(out) if k else np.zeros(0, np.int64))],
-                names=["id", "tree", "code"],
-            )
-
-    heads = rows.join(classes.select(F.col("head").alias("id")), "id", "left_semi")
-    coded = heads.mapInArrow(codes, "id long, tree long, code long")
-    pairs = cut(near_links(coded, bits, budget, node_codes=STAGE_NODE_CODES).where("a <> b").distinct())
+                out.append(np.packbits(wide, axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64).tolist())
+            yield pa.record_batch([part.column(0), pa.array(out, pa.list_(pa.int64()))], names=["id", "codes"])
+
+    # the codes of all rows first, then those of the heads: no text is shuffled
+    coded = rows.mapInArrow(codes, "id long, codes array<long>").join(classes.select(F.col("head").alias("id")), "id", "left_semi")
+    coded = cut(coded.groupBy("id").agg(F.min("codes").alias("codes")))
+    pairs = near_links(coded.select("id", F.posexplode("codes").alias("tree", "code")).withColumn("tree", F.col("tree").cast("long")), bits, budget, node_codes=STAGE_NODE_CODES)
+    pairs = cut(pairs.where("a <> b").distinct())
+    # far apart over all codes: six deviations beyond what is expected at the threshold
+    p, width_all = expected_difference(similarity), bits * tables
+    most = math.floor(width_all * p + 6 * math.sqrt(width_all * p * (1 - p)))
+    near = pairs.join(coded.select(F.col("id").alias("a"), F.col("codes").alias("ca")), "a").join(coded.select(F.col("id").alias("b"), F.col("codes").alias("cb")), "b")
+    differing = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    pairs = cut(near.where(differing <= most).select("a", "b"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
