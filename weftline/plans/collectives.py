@@ -20,7 +20,7 @@ def bcast(spark, sf_dir):
 
 
 def scatter(spark, sf_dir):
-    d = load(spark, sf_dir, "part").withColumn("pos", F.col("p_partkey") - 1)
+    d = load(spark, sf_dir, "part").withColumn("pos", F.col("p_partkey"))
     return C.scatter(d, "pos", 16).select("rank", "place", "p_partkey")
 
 
@@ -71,11 +71,11 @@ def reduce_local(spark, sf_dir):
 
 
 def scan(spark, sf_dir):
-    return C.scan(_ranked(spark, sf_dir), ["l_orderkey"], "l_linenumber", "sum", "l_partkey", "prefix").select("l_orderkey", "l_linenumber", "prefix")
+    return C.scan(load(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", "sum", "o_orderkey", "prefix").select("o_custkey", "o_orderkey", "prefix")
 
 
 def exscan(spark, sf_dir):
-    return C.exscan(_ranked(spark, sf_dir), ["l_orderkey"], "l_linenumber", "sum", "l_partkey", "prefix").select("l_orderkey", "l_linenumber", "prefix")
+    return C.exscan(load(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", "sum", "o_orderkey", "prefix").select("o_custkey", "o_orderkey", "prefix")
 
 
 def ordered_fold(spark, sf_dir):
@@ -188,7 +188,7 @@ def pack_unpack(spark, sf_dir):
 _E = "SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 48"
 SPECS = {
     "bcast": (bcast, "SELECT l.l_orderkey, l.l_linenumber, r.l_partkey AS root_part FROM lineitem l LEFT JOIN lineitem r ON l.l_orderkey = r.l_orderkey AND r.l_linenumber = 1"),
-    "scatter": (scatter, "SELECT (p_partkey - 1) // 16 AS rank, (p_partkey - 1) % 16 AS place, p_partkey FROM part"),
+    "scatter": (scatter, "SELECT p_partkey // 16 AS rank, p_partkey % 16 AS place, p_partkey FROM part"),
     "gather": (gather, "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY l_orderkey"),
     "allgather": (allgather, "SELECT l_orderkey, l_linenumber, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) OVER (PARTITION BY l_orderkey) AS parts FROM lineitem"),
     "alltoall": (alltoall, "SELECT l_partkey % 8 AS src, l_orderkey % 8 AS dst, sum(l_linenumber)::BIGINT AS v FROM lineitem GROUP BY 1, 2"),
@@ -198,8 +198,8 @@ SPECS = {
     "maxloc": (maxloc, "SELECT l_returnflag, max(l_quantity) AS max_v, min(l_orderkey) FILTER (l_quantity = hi) AS max_loc, min(l_quantity) AS min_v, min(l_orderkey) FILTER (l_quantity = lo) AS min_loc FROM (SELECT *, max(l_quantity) OVER w AS hi, min(l_quantity) OVER w AS lo FROM lineitem WINDOW w AS (PARTITION BY l_returnflag)) GROUP BY 1"),
     "reduce_scatter": (reduce_scatter, "SELECT k // 2 AS rank, k % 2 AS place, sum(l_linenumber * k + l_orderkey % 7)::BIGINT AS v FROM lineitem, (SELECT unnest(range(6)) AS k) GROUP BY k"),
     "reduce_local": (reduce_local, "SELECT l_orderkey, l_linenumber, l_partkey + l_suppkey AS sum_in, greatest(l_partkey, l_suppkey) AS max_in FROM lineitem"),
-    "scan": (scan, "SELECT l_orderkey, l_linenumber, (sum(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING))::BIGINT AS prefix FROM lineitem"),
-    "exscan": (exscan, "SELECT l_orderkey, l_linenumber, (sum(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT AS prefix FROM lineitem"),
+    "scan": (scan, "SELECT o_custkey, o_orderkey, (sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING))::BIGINT AS prefix FROM orders"),
+    "exscan": (exscan, "SELECT o_custkey, o_orderkey, (sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT AS prefix FROM orders"),
     "ordered_fold": (ordered_fold, "SELECT l_orderkey, list_reduce(list_prepend(0::BIGINT, list(l_partkey ORDER BY l_linenumber, l_partkey)), lambda s, x: (s * 3 + x) % 1000003) AS folded FROM lineitem GROUP BY 1"),
     "logical_collective": (logical_collective, "SELECT l_orderkey, bool_and(k <> 0)::INTEGER AS land, bool_or(k <> 0)::INTEGER AS lor, (count(*) FILTER (k <> 0) % 2)::INTEGER AS lxor, bit_and(k) AS band, bit_or(k) AS bor, bit_xor(k) AS bxor FROM (SELECT l_orderkey, l_partkey & 7 AS k FROM lineitem) GROUP BY 1"),
     "neighbor_allgather": (neighbor_allgather, f"SELECT dst, src, n_name AS got FROM ({_E}) JOIN nation ON n_nationkey = src"),

@@ -70,7 +70,7 @@ def lfsr(spark, sf_dir):
 
 
 def torus_hops(spark, sf_dir):
-    k = F.col("p_partkey") - 1
+    k = F.col("p_partkey")
     a, b = [k % 5, F.floor(k / 5) % 4, F.floor(k / 20) % 6], [F.lit(0), F.lit(3), F.lit(5)]
     return load(spark, sf_dir, "part").select("p_partkey", X.torus_hops(a, b, [5, 4, 6], [True, False, True]).cast("long").alias("hops"))
 
@@ -160,7 +160,7 @@ def _meets(k: str) -> str:
 
 
 _MEETS = " AND ".join(map(_meets, "xyz"))
-_ROL = lambda x, n: f"((({x}) << {n} | ({x}) >> {32 - n}) & 4294967295)"
+_ROL = lambda x, n: f"(((({x}) << {n}) | (({x}) >> {32 - n})) & 4294967295)"
 _T = "greatest(0.0, least(1.0, (p_size - 1) / 50.0))::DOUBLE"
 _NEAR = ", ".join(f"struct_pack(d := (embedding[1]::DOUBLE - {a})**2 + (embedding[2]::DOUBLE - {b})**2, k := {k}::BIGINT)" for k, (a, b) in enumerate(_CENTERS))
 SPECS = {
@@ -175,7 +175,7 @@ SPECS = {
     "random_numbers": (random_numbers, "SELECT true AS mean_ok, true AS sd_ok, true AS low_ok, true AS high_ok"),
     "color_scale": (color_scale, f"SELECT p_partkey, greatest(0, round(510 * {_T})::INTEGER - 255)::INTEGER AS r, least(255, least(round(510 * {_T})::INTEGER, round(510 * (1 - {_T}))::INTEGER))::INTEGER AS g, greatest(0, round(510 * (1 - {_T}))::INTEGER - 255)::INTEGER AS b FROM part"),
     "lfsr": (lfsr, None),
-    "torus_hops": (torus_hops, "SELECT p_partkey, (least(x, 5 - x) + abs(y - 3) + least(abs(z - 5), 6 - abs(z - 5)))::BIGINT AS hops FROM (SELECT p_partkey, (p_partkey - 1) % 5 AS x, (p_partkey - 1) // 5 % 4 AS y, (p_partkey - 1) // 20 % 6 AS z FROM part)"),
+    "torus_hops": (torus_hops, "SELECT p_partkey, (least(x, 5 - x) + abs(y - 3) + least(abs(z - 5), 6 - abs(z - 5)))::BIGINT AS hops FROM (SELECT p_partkey, p_partkey % 5 AS x, p_partkey // 5 % 4 AS y, p_partkey // 20 % 6 AS z FROM part)"),
     "json_field": (json_field, "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events"),
     "box_join": (box_join, f"WITH box AS ({_BOX}) SELECT a.id AS a, b.id AS b FROM box a JOIN box b ON a.prio < b.prio AND {_MEETS}"),
     "grid_binning": (grid_binning, f"WITH box AS ({_BOX}), c AS (SELECT id, unnest(range(floor(lo_x / 3)::BIGINT, greatest(floor(lo_x / 3) + 1, ceil(hi_x / 3))::BIGINT)) AS cx, * FROM box), d AS (SELECT *, unnest(range(floor(lo_y / 3)::BIGINT, greatest(floor(lo_y / 3) + 1, ceil(hi_y / 3))::BIGINT)) AS cy FROM c), e AS (SELECT *, unnest(range(floor(lo_z / 3)::BIGINT, greatest(floor(lo_z / 3) + 1, ceil(hi_z / 3))::BIGINT)) AS cz FROM d) SELECT cx, cy, cz, count(*) AS n FROM e GROUP BY 1, 2, 3"),
