@@ -6,6 +6,7 @@ from weftline.components import connected_components
 from weftline.functions.scalar import lfsr, msb_crc
 from weftline.operators import collectives as C
 from weftline.operators import iterate as I
+from weftline.operators import mesh as M
 from weftline.operators import reduce as R
 from weftline.operators import select as S
 from weftline.sources import text_formats as X
@@ -89,3 +90,24 @@ def test_text_formats(spark, tmp_path):
     assert X.read_tour(spark, str(tmp_path / "a.tsp")).first().x == 1.5
     parts = sorted((r.offset, bytes(r.data)) for r in X.read_ranges(spark, str(tmp_path / "a.bin"), 32).collect())
     assert b"".join(d for _, d in parts) == bytes(range(100)) and len(parts) == 4
+
+
+def test_a_bend_is_a_corner_and_a_straight_or_touching_node_is_none(spark):
+    # a unit square with a node in the middle of its lower side; node 9 has no coordinates
+    edges = spark.createDataFrame([(0, 4), (4, 1), (1, 2), (2, 3), (3, 0), (3, 0), (9, 9)], "n1 long, n2 long")
+    coords = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 1.0, 1.0), (3, 0.0, 1.0), (4, 0.5, 0.0)], "node long, x double, y double")
+    assert sorted(r.node for r in M.corner_nodes(edges, coords).collect()) == [0, 1, 2, 3]
+    touching = edges.union(spark.createDataFrame([(0, 9), (9, 0)], "n1 long, n2 long"))
+    assert sorted(r.node for r in M.corner_nodes(touching, coords).collect()) == [1, 2, 3]
+    assert M.corner_nodes(edges.limit(0), coords).count() == 0
+
+
+def test_periodic_nodes_meet_their_moved_partners(spark):
+    a = [(f, n, 0.0, float(n), 0.5 * n) for f in range(3) for n in (f, f + 1)]
+    b = [(f, n + 10, 4.0, y + 1e-5 * (n - 1), z) for f, n, _, y, z in a]
+    schema = "face long, node long, x double, y double, z double"
+    a, b = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    assert sorted(map(tuple, M.periodic_nodes(a, b).collect())) == [(n, n + 10) for n in range(4)]
+    assert M.periodic_nodes(a.limit(0), b).count() == 0
+    # a set that is no copy: only what lies within the tolerance is matched
+    assert M.periodic_nodes(a, b.withColumn("y", F.col("y") * 2)).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -116,3 +117,56 @@ def refine_tree(points: DataFrame, levels: int, most: int) -> DataFrame:
         if level < levels:
             rows = cell.join(sizes.where(F.col("n") > most).select("x", "y"), ["x", "y"], "left_semi").select("px", "py")
     return leaves
+
+
+#: Boundary nodes whose two boundary edges meet at less than this angle are corners (a fixed value).
+CORNER_ANGLE = 0.75 * math.pi
+
+
+def corner_nodes(edges: DataFrame, coords: DataFrame, angle: float = CORNER_ANGLE) -> DataFrame:
+    """(node,) of corners of a boundary; edges: (n1, n2) of the boundary, coords: (node, x, y).
+
+    A corner has exactly two neighbours on the boundary and an angle between
+    them below ``angle``. Repeated edges count once. Nodes where boundaries
+    touch (more than two neighbours), ends of an open boundary, nodes without
+    coordinates and edges of length zero give no corner.
+    """
+    both = edges.select("n1", "n2").unionByName(edges.select(F.col("n2").alias("n1"), F.col("n1").alias("n2"))).where("n1 <> n2").distinct()
+    arms = both.join(coords.select(F.col("node").alias("n2"), F.col("x").alias("x2"), F.col("y").alias("y2")), "n2", "left").join(coords.select(F.col("node").alias("n1"), "x", "y"), "n1", "left")
+    arms = arms.select(F.col("n1").alias("node"), "n2", (F.col("x2") - F.col("x")).alias("dx"), (F.col("y2") - F.col("y")).alias("dy"))
+    # two neighbours at most matter, so the smallest and the greatest are all of them
+    arm = F.struct("n2", "dx", "dy")
+    two = arms.groupBy("node").agg(F.count("*").alias("n"), F.min(arm).alias("a"), F.max(arm).alias("b")).where("n = 2")
+    dot = F.col("a.dx") * F.col("b.dx") + F.col("a.dy") * F.col("b.dy")
+    lengths = F.hypot("a.dx", "a.dy") * F.hypot("b.dx", "b.dy")
+    return two.where((lengths > 0) & (dot > F.lit(math.cos(angle)) * lengths)).select("node")
+
+
+def periodic_nodes(a: DataFrame, b: DataFrame, relative: float = 0.001) -> DataFrame:
+    """(node_a, node_b): each node of face set ``a`` with the nearest node of ``b`` at a's place moved by the shift from a to b.
+
+    a, b: (face, node, x, y, z), a row per corner of a face. The shift is the
+    difference of the mean corners; the tolerance is ``relative`` times the least
+    distance of two nodes of a face of ``a``. Nodes without a partner within the
+    tolerance are left out; of equally near ones the smaller id counts. Nodes
+    are met by cells of the tolerance's width, so a node is compared with those
+    of its 27 cells only.
+    """
+    axes = ("x", "y", "z")
+    p, q = a.alias("p"), a.alias("q")
+    gap = F.sqrt(sum((F.col(f"p.{k}") - F.col(f"q.{k}")) ** 2 for k in axes))
+    least = p.join(q, (F.col("p.face") == F.col("q.face")) & (F.col("p.node") < F.col("q.node"))).agg((F.min(gap) * relative).alias("tol"))
+    ma, mb = (d.agg(*(F.avg(k).alias(f"{s}{k}") for k in axes)) for s, d in (("a", a), ("b", b)))
+    # three rows of one value each
+    found = least.first().asDict() | ma.first().asDict() | mb.first().asDict()
+    tol = found["tol"]
+    if not tol or found["ax"] is None or found["bx"] is None:
+        return a.select(F.col("node").alias("node_a"), F.col("node").alias("node_b")).limit(0)
+    cells = lambda d: d.withColumns({f"c{k}": F.floor(F.col(k) / tol) for k in axes})
+    moved = cells(a.select(F.col("node").alias("node_a"), *((F.col(k) + (found[f"b{k}"] - found[f"a{k}"])).alias(k) for k in axes)).distinct())
+    around = F.array(*(F.lit(i).cast("long") for i in (-1, 0, 1)))
+    for k in axes:
+        moved = moved.withColumn(f"d{k}", F.explode(around)).withColumn(f"c{k}", F.col(f"c{k}") + F.col(f"d{k}")).drop(f"d{k}")
+    there = cells(b.select(F.col("node").alias("node_b"), *axes).distinct()).withColumnsRenamed({k: f"b{k}" for k in axes})
+    near = moved.join(there, [f"c{k}" for k in axes]).withColumn("gap", F.sqrt(sum((F.col(k) - F.col(f"b{k}")) ** 2 for k in axes))).where(F.col("gap") <= tol)
+    return near.groupBy("node_a").agg(F.min(F.struct("gap", "node_b")).alias("m")).select("node_a", F.col("m.node_b").alias("node_b"))

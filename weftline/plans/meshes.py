@@ -80,6 +80,23 @@ def boundary_edges(spark, sf_dir):
     return M.boundary_edges(edges)
 
 
+def corner_features(spark, sf_dir):
+    """Corners on the boundary of a stepped, wavy triangle mesh."""
+    t = _triangles(spark, sf_dir).where(F.col("t")[0] % 13 + F.floor(F.col("t")[0] / 13) < 12)
+    edges = t.select(F.explode(F.array(*(F.struct(F.col("t")[i].alias("n1"), F.col("t")[(i + 1) % 3].alias("n2")) for i in range(3)))).alias("e")).select("e.n1", "e.n2")
+    n = F.col("id")
+    coords = spark.range(169).select(n.alias("node"), (n % 13).cast("double").alias("x"), (F.floor(n / 13) + F.when(n % 13 % 5 == 2, 0.6).otherwise(0.0)).alias("y"))
+    return M.corner_nodes(M.boundary_edges(edges), coords)
+
+
+def periodic_nodes(spark, sf_dir):
+    """Nodes of a strip of faces and of its slightly disturbed copy, moved along x."""
+    s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_acctbal") / 1000).alias("z"))
+    corners = s.select(F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("face"), F.col("k").alias("node"), F.lit(0.0).alias("x"), F.col("k").cast("double").alias("y"), "z")
+    other = corners.select("face", (F.col("node") + 100000).alias("node"), (F.col("x") + 7.5).alias("x"), (F.col("y") + (F.col("node") % 3 - 1) * 0.00001).alias("y"), "z")
+    return M.periodic_nodes(corners, other)
+
+
 def interpolate(spark, sf_dir):
     values = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").cast("double").alias("v"))
     w = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("elem"), F.col("l_partkey").alias("node"), F.col("l_quantity").alias("w"))
@@ -158,6 +175,8 @@ SPECS = {
     "valid_entities": (valid_entities, "SELECT l_linestatus, count(*) FILTER (l_returnflag <> 'R') AS valid, count(*) FILTER (l_returnflag = 'R') AS invalid FROM lineitem GROUP BY 1"),
     "node_owners": (node_owners, f"WITH {_P} SELECT node, min(part) AS owner, count(*) > 1 AS shared FROM p GROUP BY 1"),
     "boundary_edges": (boundary_edges, f"WITH {_T} SELECT DISTINCT n1, n2 FROM t WHERE (n2, n1) NOT IN (SELECT (n1, n2) FROM t)"),
+    "corner_features": (corner_features, "WITH s AS (SELECT unnest([[a, a + 1, a + 14], [a, a + 14, a + 13]]) AS v FROM (SELECT k // 12 * 13 + k % 12 AS a FROM (SELECT unnest(range(144)) AS k) WHERE k // 12 + k % 12 < 12)), d AS (SELECT v[1] AS n1, v[2] AS n2 FROM s UNION SELECT v[2], v[3] FROM s UNION SELECT v[3], v[1] FROM s), e AS (SELECT * FROM d WHERE (n2, n1) NOT IN (SELECT (n1, n2) FROM d)), u AS (SELECT n1, n2 FROM e UNION SELECT n2, n1 FROM e), c AS (SELECT n AS node, (n % 13)::DOUBLE AS x, n // 13 + CASE WHEN n % 13 % 5 = 2 THEN 0.6::DOUBLE ELSE 0 END AS y FROM (SELECT unnest(range(169)) AS n)), w AS (SELECT u.n1 AS node, atan2(q.y - p.y, q.x - p.x) AS t FROM u JOIN c p ON p.node = u.n1 JOIN c q ON q.node = u.n2) SELECT node FROM w GROUP BY 1 HAVING count(*) = 2 AND least(max(t) - min(t), 2 * pi() - max(t) + min(t)) < 0.75 * pi()"),
+    "periodic_nodes": (periodic_nodes, "WITH a AS (SELECT unnest([s_suppkey, s_suppkey + 1]) AS face, s_suppkey AS node, 0::DOUBLE AS x, s_suppkey::DOUBLE AS y, s_acctbal / 1000 AS z FROM supplier), b AS (SELECT face, node + 100000 AS node, x + 7.5 AS x, y + (node % 3 - 1) * 0.00001::DOUBLE AS y, z FROM a), m AS (SELECT (SELECT avg(x) FROM b) - avg(x) AS x, (SELECT avg(y) FROM b) - avg(y) AS y, (SELECT avg(z) FROM b) - avg(z) AS z FROM a), tol AS (SELECT 0.001 * min(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2)) AS tol FROM a p JOIN a q ON p.face = q.face AND p.node < q.node), g AS (SELECT a.node AS node_a, b.node AS node_b, sqrt((a.x + m.x - b.x) ** 2 + (a.y + m.y - b.y) ** 2 + (a.z + m.z - b.z) ** 2) AS gap FROM (SELECT DISTINCT node, x, y, z FROM a) a, (SELECT DISTINCT node, x, y, z FROM b) b, m) SELECT node_a, arg_min(node_b, gap) AS node_b FROM g, tol WHERE gap <= tol GROUP BY 1"),
     "interpolate": (interpolate, "SELECT l_orderkey AS elem, round(sum(p_size * l_quantity) / sum(l_quantity), 6) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1"),
     "sum_shared": (sum_shared, f"WITH {_P} SELECT part, node, (sum(part + node % 3) OVER (PARTITION BY node))::BIGINT AS total FROM p"),
     "block_stencil": (block_stencil, f"WITH {_G} SELECT g.i, g.j, any_value(g.v) AS v, coalesce(sum(h.v), 0)::BIGINT AS s FROM g LEFT JOIN g h ON abs(g.i - h.i) + abs(g.j - h.j) = 1 GROUP BY 1, 2"),
