@@ -142,6 +142,19 @@ def test_near_duplicates_at_the_threshold(spark):
     assert near >= 59
 
 
+def test_near_duplicates_with_a_repeated_line(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(5000)]
+    rows = []
+    for k in range(30):
+        words, line = rng.choices(vocab, k=400), rng.choices(vocab, k=12)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + line * 10))]
+        assert simhash._jaccard(rows[-2][1], rows[-1][1], 5) > 0.93
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.component_id for r in simhash.simhash_near_duplicates(d).collect()}
+    assert [got[2 * k + 1] for k in range(30)] == [2 * k for k in range(30)]
+
+
 def test_forest_of_dense_and_odd_vectors(spark):
     rng = np.random.default_rng(2)
     center = rng.standard_normal(16)

@@ -47,14 +47,20 @@ def _spread(h: np.ndarray, k: int) -> np.ndarray:
 def fingerprint(text: str | None, width: int, extra_words: int = 0, block: int = 65536) -> np.ndarray:
     """The SimHash of a text's shingles: a bit is 1 if set in over half the hashes. No words: all zero.
 
-    extra_words 0: one word of the XXH64 hashes (seed 42); else so many words
-    of further hashes. Long texts are taken in blocks of shingles.
+    extra_words 0: one word of the XXH64 hashes (seed 42), repeats counted; else
+    so many words of further hashes of the distinct shingles, so that differing
+    bits follow the similarity of the sets. Long texts are taken in blocks of
+    shingles.
     """
     words = lowered_words(text)
     n = max(0, len(words) - width + 1) or bool(words)
     total = np.zeros((extra_words or 1, 64), np.int64)
-    for at in range(0, n, block):
-        h = hashes(shingles(words[at : min(at + block, n) + width - 1], width))
+    parts = (hashes(shingles(words[at : min(at + block, n) + width - 1], width)) for at in range(0, n, block))
+    if extra_words and n:
+        distinct = np.unique(np.concatenate(list(parts)))
+        n = len(distinct)
+        parts = (distinct[at : at + block] for at in range(0, n, block))
+    for h in parts:
         total += bit_counts(_spread(h, extra_words) if extra_words else h[:, None])
     return _words_of_bits(2 * total > n)
 
