@@ -155,6 +155,20 @@ def test_near_duplicates_with_a_repeated_line(spark):
     assert [got[2 * k + 1] for k in range(30)] == [2 * k for k in range(30)]
 
 
+def test_near_duplicates_among_texts_of_one_template(spark):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(20000)]
+    template, rows = rng.choices(vocab, k=300), []
+    for k in range(300):  # pairs that are near to each other, in a group that is just below the threshold
+        words = template + rng.choices(vocab, k=58)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-20], *rng.choices(vocab, k=20)]))]
+    assert simhash._jaccard(rows[0][1], rows[2][1], 5) < 0.8 <= simhash._jaccard(rows[0][1], rows[1][1], 5)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.component_id for r in simhash.simhash_near_duplicates(d).collect()}
+    assert all(got[2 * k] == 2 * k for k in range(300))
+    assert sum(got[2 * k + 1] == 2 * k for k in range(300)) >= 297
+
+
 def test_forest_of_dense_and_odd_vectors(spark):
     rng = np.random.default_rng(2)
     center = rng.standard_normal(16)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weftline.components import connected_components
 from weftline.lineage import cut
 from weftline.llm.text import hashes, lowered_words, shingles, slices
-from weftline.llm.trie import near_links
+from weftline.llm.trie import left_out, near_links
 
 #: Mean codes below a node where tasks begin, with several codes of a text: each level above costs a copy of all codes.
 STAGE_NODE_CODES = 32_768
@@ -119,10 +119,11 @@ def simhash_near_duplicates(docs: DataFrame, width: int = 5, similarity: float =
 
     Texts with equal words (A-Z lowered) are one class. Each class gets several
     SimHash codes of independent hashes; classes with any two codes within
-    ``budget`` bits are candidates, found by the trie join, nearest first. The
-    number of codes follows from the wanted recall at the threshold. Candidates
-    that are far apart over all codes together are left out; the others are
-    compared exactly, on their whole sets of shingles.
+    ``budget`` bits are candidates, found by the trie join. The number of codes
+    follows from the wanted recall at the threshold. Candidates that are far
+    apart over all codes together are left out; the others are compared exactly,
+    on their whole sets of shingles. Spanning links come first, nearest first;
+    where one fails, all candidates of its group that are not yet joined follow.
     Null and empty texts are one class. Repeated rows of an id count once; null
     ids are left out.
     """
@@ -154,14 +155,11 @@ def simhash_near_duplicates(docs: DataFrame, width: int = 5, similarity: float =
     # the codes of all rows first, then those of the heads: no text is shuffled
     coded = rows.mapInArrow(codes, "id long, codes array<long>").join(classes.select(F.col("head").alias("id")), "id", "left_semi")
     coded = cut(coded.groupBy("id").agg(F.min("codes").alias("codes")))
-    pairs = near_links(coded.select("id", F.posexplode("codes").alias("tree", "code")).withColumn("tree", F.col("tree").cast("long")), bits, budget, node_codes=STAGE_NODE_CODES)
-    pairs = cut(pairs.where("a <> b").distinct())
+    found = cut(near_links(coded.select("id", F.posexplode("codes").alias("tree", "code")).withColumn("tree", F.col("tree").cast("long")), bits, budget, node_codes=STAGE_NODE_CODES, groups=True))
     # far apart over all codes: six deviations beyond what is expected at the threshold
     p, width_all = expected_difference(similarity), bits * tables
     most = math.floor(width_all * p + 6 * math.sqrt(width_all * p * (1 - p)))
-    near = pairs.join(coded.select(F.col("id").alias("a"), F.col("codes").alias("ca")), "a").join(coded.select(F.col("id").alias("b"), F.col("codes").alias("cb")), "b")
     differing = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    pairs = cut(near.where(differing <= most).select("a", "b"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -169,11 +167,21 @@ def simhash_near_duplicates(docs: DataFrame, width: int = 5, similarity: float =
             ok = pa.array([_jaccard(x, y, width) >= similarity for x, y in zip(ta, tb, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(ok)
 
-    texts = rows.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
-    texts = cut(texts)
-    one = cut(pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a"))
-    both = one.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
-    links = both.mapInArrow(verify, "a long, b long")
-    found = connected_components(links)
-    labels = cut(classes.join(found, classes["head"] == found["node"], "left").select("d", F.coalesce("component", "head").alias("component_id")))
+    def proved(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(coded.select(F.col("id").alias("a"), F.col("codes").alias("ca")), "a").join(coded.select(F.col("id").alias("b"), F.col("codes").alias("cb")), "b")
+        near = cut(near.where(differing <= most).select("a", "b"))
+        texts = rows.join(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
+        texts = cut(texts)
+        one = cut(near.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a"))
+        both = one.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
+        return cut(both.mapInArrow(verify, "a long, b long"))
+
+    pairs = cut(found.where("group is null and a <> b").select("a", "b").distinct())
+    links = proved(pairs)
+    # where a spanning link has failed, the pairs that it stood for are compared too
+    rest = cut(left_out(found.where("group is not null").select(F.col("a").alias("id"), "group", "code"), connected_components(links), budget).join(pairs, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = links.unionByName(proved(rest))
+    joined = connected_components(links)
+    labels = cut(classes.join(joined, classes["head"] == joined["node"], "left").select("d", F.coalesce("component", "head").alias("component_id")))
     return ids.join(labels, "d").groupBy("id").agg(F.min("component_id").alias("component_id"))

@@ -20,6 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,8 +128,11 @@ class Forest:
         return tuple(np.concatenate(x) for x in zip(*self.kept, strict=True))
 
 
-def _join_nodes(frame: pd.DataFrame, depth: int, middle: int, budget: int) -> pd.DataFrame:
-    """Spanning links of one pair of nodes: close codes first, so that a tree is made of its nearest links."""
+def _join_nodes(frame: pd.DataFrame, depth: int, middle: int, budget: int, groups: bool = False) -> pd.DataFrame:
+    """Spanning links of one pair of nodes: close codes first, so that a tree is made of its nearest links.
+
+    groups: also a row (id, id, group, code) for each member of a tree of links that does not hold all its close pairs.
+    """
     lo, hi = (frame[k].to_numpy().view(np.uint64)[0] for k in ("lo", "hi"))
     same, errors = lo == hi, int(lo ^ hi).bit_count()
     code, member = frame["code"].to_numpy().view(np.uint64), frame["id"].to_numpy()
@@ -141,6 +145,7 @@ def _join_nodes(frame: pd.DataFrame, depth: int, middle: int, budget: int) -> pd
         sides.append((c[new], m[new], c, m, new))
     (a, am, *whole), (b, bm, *_) = sides
     out_a, out_b = [], []
+    members = None
     if same:
         b, bm = a, am
         c, m, new = whole
@@ -152,6 +157,8 @@ def _join_nodes(frame: pd.DataFrame, depth: int, middle: int, budget: int) -> pd
         forests = Forest(len(a) if same else len(a) + len(b))
         found: list[list] = [[] for _ in range(budget + 1)]
         held = 0
+        times = np.concatenate([np.bincount(np.cumsum(x[4]) - 1, minlength=len(x[0])) for x in (sides[:1] if same else sides)])
+        close = np.zeros(len(times))  # pairs of members by the first of their codes
 
         def flush() -> None:
             for group in found:
@@ -160,6 +167,9 @@ def _join_nodes(frame: pd.DataFrame, depth: int, middle: int, budget: int) -> pd
                 group.clear()
 
         for i, j, far in close_codes(a, b, same, depth, errors, middle, budget):
+            if groups:
+                k = j + (0 if same else len(a))
+                close += np.bincount(i, times[i] * times[k].astype(np.float64), len(times))
             for d in range(budget + 1):
                 if (at := far == d).any():
                     found[d].append((i[at], j[at] + (0 if same else len(a))))
@@ -172,8 +182,23 @@ def _join_nodes(frame: pd.DataFrame, depth: int, middle: int, budget: int) -> pd
         ids = am if same else np.concatenate((am, bm))
         out_a.append(ids[i])
         out_b.append(ids[j])
+        if groups:
+            root = forests.parent
+            alike = times * (times - 1) / 2 if same else np.zeros(len(times))
+            pairs = np.bincount(root, close + alike, len(times))
+            sent = np.bincount(root, times if same else None, len(times)) - 1
+            of = [np.cumsum(x[4]) - 1 + at for x, at in zip(sides, (0, len(a)), strict=True)][: 1 if same else 2]
+            of, code, member = np.concatenate(of), *(np.concatenate([x[k] for x in sides[: len(of)]]) for k in (2, 3))
+            left = (pairs > sent)[root[of]]
+            task = "/".join(str(frame[k].iloc[0]) for k in ("tree", "lo", "hi")) + f"/{depth}/"
+            name = {r: np.uint64(xxhash.xxh64_intdigest(f"{task}{r}")).view(np.int64) for r in np.unique(root[of[left]])}
+            members = pd.DataFrame({"a": member[left], "b": member[left], "group": [name[r] for r in root[of[left]]], "code": code[left].view(np.int64)})
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    if not groups:
+        return out
+    out["group"], out["code"] = pd.array([None] * len(out), "Int64"), pd.array([None] * len(out), "Int64")
+    return out if members is None else pd.concat([out, members.astype({"group": "Int64", "code": "Int64"})])
 
 
 def _masks(bits: int, most: int) -> list[tuple[int, int]]:
@@ -199,7 +224,7 @@ def _deal(rows: DataFrame, step: int, depth: int, middle: int, budget: int) -> D
     return out.select("tree", "code", "id", lo.alias("lo"), hi.alias("hi")).select("tree", "code", "id", F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"))
 
 
-def near_links(codes: DataFrame, bits: int, budget: int, task_codes: int = TASK_CODES, node_codes: int = NODE_CODES) -> DataFrame:
+def near_links(codes: DataFrame, bits: int, budget: int, task_codes: int = TASK_CODES, node_codes: int = NODE_CODES, groups: bool = False) -> DataFrame:
     """(a, b), a < b: links that join all ids whose codes differ in ``budget`` bits or fewer.
 
     codes: (tree, code, id), all long; code holds ``bits`` bits, left-aligned;
@@ -207,6 +232,11 @@ def near_links(codes: DataFrame, bits: int, budget: int, task_codes: int = TASK_
     span the same components as all pairs within the budget would, and there
     are no more of them than codes in the tasks: pairs of a dense group are
     counted down in the task and not sent on.
+
+    groups: (a, b, group, code), of which rows with a group are no links: they
+    name the members of each tree of links that leaves out close pairs, with
+    the code by which the members are close. If links of a tree prove wrong, see
+    ``left_out``.
     """
     half = bits // 2
     codes = cut(codes.select("tree", "code", "id"))
@@ -221,7 +251,7 @@ def near_links(codes: DataFrame, bits: int, budget: int, task_codes: int = TASK_
     key = ["tree", "lo", "hi"]
 
     def links(dealt: DataFrame, at: int) -> DataFrame:
-        return dealt.groupBy(*key).applyInPandas(lambda x: _join_nodes(x, at, half, budget), "a long, b long")
+        return dealt.groupBy(*key).applyInPandas(lambda x: _join_nodes(x, at, half, budget, groups), "a long, b long" + (", group long, code long" if groups else ""))
 
     done = []
     while True:
@@ -236,3 +266,37 @@ def near_links(codes: DataFrame, bits: int, budget: int, task_codes: int = TASK_
     for x in done[1:]:
         out = out.unionByName(x)
     return out
+
+
+#: Members of a block of a group, whose pairs with another block are one task's.
+BLOCK_MEMBERS = 2048
+
+
+def _block_pairs(frame: pd.DataFrame, budget: int) -> pd.DataFrame:
+    """Pairs within the budget whose parts differ, of one block or of two."""
+    first = (frame["block"] == frame["p"]).to_numpy()
+    code, ids, part = frame["code"].to_numpy().view(np.uint64), frame["id"].to_numpy(), frame["part"].to_numpy()
+    x, y = np.flatnonzero(first), np.flatnonzero(~first if frame["p"].iloc[0] != frame["q"].iloc[0] else first)
+    out_a, out_b = [ids[:0]], [ids[:0]]
+    for at in range(0, len(x), 256):
+        k = x[at : at + 256]
+        i, j = np.nonzero((np.bitwise_count(code[k][:, None] ^ code[y][None, :]) <= budget) & (part[k][:, None] != part[y][None, :]))
+        out_a.append(ids[k[i]])
+        out_b.append(ids[y[j]])
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+
+def left_out(members: DataFrame, parts: DataFrame, budget: int, block: int = BLOCK_MEMBERS) -> DataFrame:
+    """(a, b), a < b, distinct: all close pairs inside the groups of ``near_links`` whose ends lie in different parts.
+
+    members: (id, group, code). parts: (node, component), the components of the
+    links that have proved right; an id that is not there is its own part. Groups
+    that lie in one part are done. The others are compared block by block.
+    """
+    own = cut(members.join(parts, members["id"] == parts["node"], "left").select("group", "id", "code", F.coalesce("component", "id").alias("part")))
+    torn = own.groupBy("group").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high")
+    torn = cut(torn.select("group", F.ceil(F.col("n") / block).cast("int").alias("k")))
+    rows = own.join(torn, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("group", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "block", "id", "code", "part")
+    return rows.groupBy("group", "p", "q").applyInPandas(lambda x: _block_pairs(x, budget), "a long, b long").distinct()
