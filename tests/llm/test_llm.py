@@ -244,6 +244,15 @@ def test_ppm_equals_brute_force():
         assert abs(total - model.score([t])[0]) < 1e-4
 
 
+def test_ppm_scores_by_all_contexts_at_any_capacity(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdeé", k=rng.randrange(1, 7))) for _ in range(60)]
+    rows = [(i, None if i == 7 else "" if i == 8 else " ".join(rng.choices(words, k=40)) + "xyz"[: i % 4]) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, cut = ({r.doc_id: r.score for r in ppm.ppm_scores(d, capacity=n).collect()} for n in (100_000, 20))
+    assert whole.keys() == cut.keys() and all(abs(whole[i] - cut[i]) < 1e-3 for i in whole)
+
+
 def test_ppm_base_and_held_out(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     got = {r.doc_id: r for r in queries.op5_ppm_scores(spark, sf_dir).collect()}

@@ -9,10 +9,10 @@ symbols that the longer one has seen (exclusion). Below the empty context all
 held as one row of log probabilities per context, so a text is scored by
 looking up its contexts in numpy.
 
-All contexts of one and two symbols are kept. Of three symbols and more, the
-most frequent are, ``capacity`` at most of each length; the others fall back to
-their longest suffix kept. That bounds the model that is broadcast: rows and
-alphabet are bounded, whatever the input.
+The broadcast trie holds all contexts of one and two symbols, and of three
+symbols and more the most frequent, ``capacity`` at most of each length, so it
+is bounded, whatever the input. Symbols whose five-symbol context it does not
+hold are counted for each text, and meet the counts of all contexts in joins.
 """
 
 from __future__ import annotations
@@ -111,6 +111,7 @@ class Trie:
 
     def __init__(self, low: tuple[np.ndarray, np.ndarray], deep: list[tuple[np.ndarray, np.ndarray]]):
         """low: counts of all three-symbol grams; deep: counts of the grams of the contexts held, of three symbols, of four and so on. Keys ascend."""
+        self.whole = True  # no context of the corpus is left out
         keys, n = low
         seen = np.unique(np.concatenate((keys & 511, (keys >> 9) & 511, (keys >> 18) & 511, np.array([END]))))
         size = self.size = len(seen) + 1  # one more for every symbol never seen
@@ -171,10 +172,16 @@ class Trie:
             self.children.append(child)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """The log10 probability of each whole text, its end included."""
-        out = np.zeros(len(texts))
+        """The log10 probability of each whole text, its end included, by the contexts held."""
+        return self.parts(texts, True)[0]
+
+    def parts(self, texts: list[str | None], whole: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The log10 probability of each text, and, if not whole, apart from that, the grams whose context is not held."""
+        out, rest = np.zeros(len(texts)), []
         for k, t in enumerate(texts):
-            s = self.code[symbols(t)]
+            raw = symbols(t)
+            s = self.code[raw]
+            own = []
             for at in range(0, len(s) - ORDER, 1 << 20):
                 x = s[at : at + (1 << 20) + ORDER]
                 node = self.node[(x[:-3] * self.size + x[1:-2]) * self.size + x[2:-1]]  # of the three symbols before x[3:]
@@ -182,8 +189,14 @@ class Trie:
                 for order, child in enumerate(self.children, 4):
                     held = child[held[:-1], x[order - 1 : -1]] if order > 4 else child[np.where(held[:-1] >= 0, held[:-1], -1), x[3:-1]]
                     node = np.where(held >= 0, held + self.offset[order], node[1:])
-                out[k] += self.rows[node, x[ORDER:]].sum(dtype=np.float64)
-        return out
+                p = self.rows[node, x[ORDER:]]
+                if not whole:
+                    short = held < 0
+                    own.append(grams(raw[at : at + (1 << 20) + ORDER])[short])
+                    p = p[~short]
+                out[k] += p.sum(dtype=np.float64)
+            rest.append(np.concatenate(own) if own else np.zeros(0, np.int64))
+        return out, rest
 
 
 def train(counts: DataFrame, capacity: int = CAPACITY) -> Trie:
@@ -195,7 +208,7 @@ def train(counts: DataFrame, capacity: int = CAPACITY) -> Trie:
         order = np.argsort(g, kind="stable")
         return g[order], n[order]
 
-    deep = []
+    deep, whole = [], True
     table = counts.where("kind = 1").select(F.col("key").alias("g"), "n")
     for order in range(ORDER, 2, -1):
         if order < ORDER:
@@ -203,8 +216,54 @@ def train(counts: DataFrame, capacity: int = CAPACITY) -> Trie:
         context = F.shiftright("g", 9)
         top = table.groupBy(context.alias("c")).agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "c").limit(capacity).select("c")
         deep.append(sent(table.join(F.broadcast(top), context == F.col("c")).select("g", "n")))
+        whole = whole and len(np.unique(deep[-1][0] >> 9)) < capacity
     low = sent(table.groupBy(F.col("g").bitwiseAND(F.lit((1 << 27) - 1)).alias("g")).agg(F.sum("n").alias("n")))
-    return Trie(low, deep[::-1])
+    trie = Trie(low, deep[::-1])
+    trie.whole = whole
+    return trie
+
+
+def gram_logs(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(g, log): the log10 probability of each wanted gram's last symbol after its context, by the counts of all contexts.
+
+    wanted: (g), distinct. A gram goes down from the longest context until one
+    has seen its symbol. What a longer context has seen, its suffix has seen
+    too, so exclusion takes the suffix's counts of those symbols (``above``)
+    and their number from its totals.
+    """
+    suffix = lambda g, order: F.col(g).bitwiseAND(F.lit((1 << 9 * (order + 1)) - 1))
+    tables = {ORDER: cut(counts.where("kind = 1").select(F.col("key").alias("g"), "n"))}
+    for order in range(ORDER - 1, -1, -1):
+        tables[order] = cut(tables[order + 1].groupBy(suffix("g", order).alias("g")).agg(F.sum("n").alias("n")))
+    state = wanted.select("g", F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("above"), F.lit(0).cast("long").alias("known"))
+    done = None
+    for order in range(ORDER, -1, -1):
+        seen = tables[order]
+        if order:
+            shorter = tables[order - 1].select(F.col("g").alias("h"), F.col("n").alias("m"))
+            seen = seen.join(shorter, suffix("g", order - 1) == F.col("h")).select("g", "n", "m")
+        else:
+            seen = seen.withColumn("m", F.lit(0).cast("long"))
+        contexts = seen.groupBy(F.shiftright("g", 9).alias("c")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("m").alias("next"))
+        own = tables[order].select(F.col("g").alias("h"), "n")
+        # a few symbols make frequent keys, but few
+        contexts, own = F.broadcast(contexts) if order <= 2 else contexts, F.broadcast(own) if order <= 1 else own
+        here = state.join(contexts, F.shiftright(suffix("g", order), 9) == F.col("c"), "left").join(own, suffix("g", order) == F.col("h"), "left")
+        kinds = F.col("kinds") - F.col("known")
+        all_ = F.col("total") - F.col("above") + kinds
+        here = cut(
+            here.select(
+                "g",
+                F.when(F.col("n") > 0, F.col("log") + F.log10(F.col("n") / all_)).when(kinds > 0, F.col("log") + F.log10(kinds / all_)).otherwise(F.col("log")).alias("log"),
+                F.coalesce("next", F.lit(0)).alias("above"),
+                F.coalesce("kinds", F.lit(0)).alias("known"),
+                F.col("n").isNotNull().alias("found"),
+            )
+        )
+        found = here.where("found").select("g", "log")
+        done = found if done is None else done.unionByName(found)
+        state = here.where("not found").drop("found")
+    return done.unionByName(state.select("g", (F.col("log") - F.log10(F.greatest(END + 1 - F.col("known"), F.lit(1)))).alias("log")))
 
 
 def ppm_scores(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, capacity: int = CAPACITY, head_words: int = HEAD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,7 +279,8 @@ def ppm_scores(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, capacity
 
     Words are told apart by their 64-bit hash. Counts of the most frequent words
     go to all tasks, those of the others meet the texts in a join, in which
-    no word is frequent.
+    no word is frequent. Contexts that the broadcast trie does not hold are
+    treated likewise.
     """
     spark = docs.sparkSession
     text, doc = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
@@ -242,7 +302,7 @@ def ppm_scores(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, capacity
         logs = np.log10((known + 0.5) / base)
         for part in slices(batches):
             texts = part.column(3).to_pylist()
-            scores = trie.score(texts)
+            scores, rest = trie.parts(texts, trie.whole)
             index: dict[bytes, int] = {}
             per = [[index.setdefault(w, len(index)) for w in lowered_words(t)] for t in texts]
             h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in index), np.uint64, len(index))
@@ -261,15 +321,23 @@ def ppm_scores(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, capacity
                 tail_n.append(times.astype(np.int32))
             ends = np.concatenate(([0], np.cumsum([len(x) for x in tail_h]))).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x))) for x in (tail_h, tail_n)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array(near, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), *lists], names=["row", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "score", "h", "times"])
+            kinds = [np.unique(g, return_counts=True) for g in rest]
+            ends = np.concatenate(([0], np.cumsum([len(g) for g, _ in kinds]))).astype(np.int32)
+            lists += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x))) for x in ([g for g, _ in kinds], [m.astype(np.int32) for _, m in kinds])]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array(near, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), *lists], names=["row", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "score", "h", "times", "g", "g_times"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), doc.alias("doc_id"), held_out.alias("held_out"), text.alias("t"))
-    rows = cut(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, score double, h array<long>, times array<int>"))
+    rows = cut(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, score double, h array<long>, times array<int>, g array<long>, g_times array<int>"))
     tail = rows.select("row", F.explode(F.arrays_zip("h", "times")).alias("x")).select("row", F.col("x.h").alias("key"), F.col("x.times").alias("times"))
     met = tail.join(counts.where("kind = 0").select("key", "n"), "key", "left")
     n = F.coalesce("n", F.lit(0))
     sums = met.groupBy("row").agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.log10((n + 0.5) / F.lit(base)) * F.col("times")).alias("rest"))
-    out = rows.drop("h", "times").join(sums, "row", "left")
+    out = rows.drop("h", "times", "g", "g_times").join(sums, "row", "left")
+    if not trie.whole:
+        deep = rows.select("row", F.explode(F.arrays_zip("g", "g_times")).alias("x")).select("row", F.col("x.g").alias("g"), F.col("x.g_times").alias("times"))
+        logs = cut(gram_logs(counts, deep.select("g").distinct()))
+        out = out.join(deep.join(logs, "g").groupBy("row").agg(F.sum(F.col("log") * F.col("times")).alias("deep")), "row", "left")
+        out = out.withColumn("score", F.col("score") + F.coalesce("deep", F.lit(0.0)))
     return out.select(
         "doc_id",
         "held_out",
