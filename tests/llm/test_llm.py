@@ -205,6 +205,33 @@ def test_salvage(compress):
     assert sum(x.length for x in found) == len(raw) and len(gaps) == 4 and all(g.reason for g in gaps)
 
 
+def test_salvage_within_a_member():
+    import gzip
+
+    parts = _archive(False)
+    at = parts[2].index(b"<p>")
+    damaged = parts[2][:at] + b"#" + parts[2][at + 1 :]
+    whole = gzip.compress(b"".join([parts[0], parts[1], damaged, *parts[3:]]), mtime=0)
+    first = gzip.compress(b"".join([damaged, *parts[3:]]), mtime=0)
+    flipped = bytearray(gzip.compress(b"".join(parts), mtime=0))
+    flipped[-8] ^= 0xFF
+    ended = gzip.compress(b"".join(parts), 0, mtime=0)  # stored: version lines stand in the file itself
+    tail = gzip.compress(parts[5], mtime=0)
+    long = gzip.compress(warc.record("response", 7, "http://x/" + "u" * 70_000, b"x", warc.sha1_base32(b"x")), mtime=0)
+    plain = gzip.decompress(long)
+
+    def ids(raw):
+        found = list(warc.salvage(io.BytesIO(raw), len(raw)))
+        assert {(x.offset, x.length) for x in found if x.length == 0} == set()
+        return [x.headers["warc-record-id"][len(warc.PAGE) + 1 : -1] for x in found if isinstance(x, warc.Record)], [x.reason for x in found if isinstance(x, warc.Gap)]
+
+    assert ids(whole)[0] == list("01345") and len(ids(whole)[1]) == 1
+    assert ids(first)[0] == list("345")
+    assert ids(bytes(flipped) + tail)[0] == list("0123455")
+    assert ids(ended[: len(ended) * 3 // 4] + tail)[0] == [*"0123", "5"]
+    assert ids(long + tail)[0] == ["7", "5"] == ids(plain + parts[5])[0]
+
+
 def test_warc_odd_pages(spark):
     rows = [(5, "u", "same"), (3, "u", "same"), (9, None, "same"), (7, "u", None), (8, "u", ""), (None, "u", "same"), (3, "u", "same")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -3,7 +3,8 @@
 The reader checks each record (gzip CRC, version line, length, digests). Where
 a check fails it searches on for the next gzip member that begins a record, or
 the next version line, takes up reading there, and logs the bytes between as
-quarantined.
+quarantined. It does so within the contents of a member too, and in what comes
+out of a damaged member before the damage.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from weftline.llm.files import create, open_file
 PAGE = "urn:weftline:page:"
 ROTATE = 256 << 20
 WINDOW = 1 << 20
-#: Longest header block of a record.
+#: Bytes read at first for the header block of a plain record.
 HEADER_BYTES = 1 << 16
 
 
@@ -78,7 +79,7 @@ def _parse(data: bytes, at: int, end_known: bool = True) -> tuple[dict[str, str]
     """Headers, block and end of the record at ``at``; Broken if a check fails."""
     if not re.match(rb"WARC/1\.[01]\r\n", data[at : at + 10]):
         raise Broken("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
+    stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
         raise Broken("headers do not end")
     headers = {}
@@ -105,26 +106,31 @@ def _read(f, at: int, n: int) -> bytes:
     return f.read(n)
 
 
-def _member(f, at: int) -> tuple[bytes, int]:
-    """The contents of the gzip member at ``at`` and its length; Broken if damaged."""
+def _member(f, at: int) -> tuple[bytes, int, str]:
+    """The contents of the gzip member at ``at``, its length and ''; of a damaged one what comes out before the damage, the bytes read for it and the reason."""
     d, out, pos = zlib.decompressobj(31), [], at
     while not d.eof:
         chunk = _read(f, pos, WINDOW)
         if not chunk:
-            raise Broken("member is cut short")
+            return b"".join(out), pos - at, "member is cut short"
+        before = d.copy()
         try:
             out.append(d.decompress(chunk))
         except zlib.error as e:
-            raise Broken(f"member is damaged: {e}") from None
-        if pos == at and not b"WARC/".startswith(out[0][:5]) and not out[0].startswith(b"WARC/"):
-            raise Broken("member holds no record")
+            try:
+                for k in range(len(chunk)):  # byte by byte, since a failed call gives nothing
+                    out.append(before.decompress(chunk[k : k + 1]))
+            except zlib.error:
+                pos += k
+            return b"".join(out), pos - at, f"member is damaged: {e}"
         pos += len(chunk)
-    return b"".join(out), pos - len(d.unused_data) - at
+    return b"".join(out), pos - len(d.unused_data) - at, ""
 
 
 def _plain(f, at: int) -> tuple[dict[str, str], bytes, int]:
-    head = _read(f, at, HEADER_BYTES)
-    stop = head.find(b"\r\n\r\n")
+    n = HEADER_BYTES
+    while (stop := (head := _read(f, at, n)).find(b"\r\n\r\n")) < 0 and len(head) == n:
+        n *= 2
     size = re.search(rb"\r\n[Cc]ontent-[Ll]ength:\s*(\d+)\s*\r\n", head[: stop + 2]) if stop >= 0 else None
     if not size:
         raise Broken("no header block with a content length")
@@ -132,27 +138,38 @@ def _plain(f, at: int) -> tuple[dict[str, str], bytes, int]:
     return _parse(head[:need] if need <= len(head) else _read(f, at, need), 0)
 
 
-def _records_at(f, at: int) -> tuple[list[Record], int, list[Gap]]:
-    """All records of the member or plain record at ``at``, and its length."""
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+
+
+def _records_at(f, at: int) -> tuple[list[Record], int, list[Gap], bool]:
+    """All records of the member or plain record at ``at``, its length, its gaps, and whether it is damaged, so that its end is not known.
+
+    Of a member that fails its own checks only records whose block digest holds are taken.
+    """
     magic = _read(f, at, 5)
     if magic[:2] == b"\x1f\x8b":
-        data, length = _member(f, at)
+        data, length, damage = _member(f, at)
         found, gaps, pos = [], [], 0
         while pos < len(data):
             try:
-                headers, block, pos = _parse(data, pos)
+                headers, block, end = _parse(data, pos)
+                if damage and not headers.get("warc-block-digest", "").startswith("sha1:"):
+                    raise Broken(f"no block digest, and {damage}")
             except Broken as e:
-                if not found:
-                    raise
                 gaps.append(Gap(at, length, f"within a member: {e}"))
-                break
+                sign = _VERSION.search(data, pos + 1)
+                pos = sign.start() if sign else len(data)
+                continue
             found.append(Record(at, length, headers, block))
+            pos = end
         if not found:
-            raise Broken("empty member")
-        return found, length, gaps
+            raise Broken(damage or (gaps[0].reason if gaps else "empty member"))
+        if damage:
+            gaps.append(Gap(at, length, damage))
+        return found, length, gaps, bool(damage)
     if magic == b"WARC/":
         headers, block, length = _plain(f, at)
-        return [Record(at, length, headers, block)], length, []
+        return [Record(at, length, headers, block)], length, [], False
     raise Broken("neither a member nor a version line")
 
 
@@ -169,27 +186,37 @@ def _signs(f, at: int, size: int) -> Iterator[int]:
         at += max(1, len(window) - 10)
 
 
+def _next(f, start: int, size: int, read: int = 0) -> int:
+    """Where the next readable member or record begins after ``start``; version lines in the first ``read`` bytes are a member's own."""
+    seen = start
+    for sign in _signs(f, start + 1, size):
+        if sign <= seen:  # windows overlap
+            continue
+        seen = sign
+        if sign < start + read and _read(f, sign, 1) == b"W":
+            continue
+        try:
+            _records_at(f, sign)
+        except Broken:
+            continue
+        return sign
+    return size
+
+
 def salvage(f, size: int) -> Iterator[Record | Gap]:
     """The sound records of a file in order, and the byte gaps between them. Memory: one record or member."""
     at = 0
     while at < size:
         try:
-            records, length, gaps = _records_at(f, at)
+            records, length, gaps, damaged = _records_at(f, at)
         except Broken as e:
-            reason, start, seen = str(e), at, at
-            at = size
-            for sign in _signs(f, start + 1, size):
-                if sign <= seen:  # windows overlap
-                    continue
-                seen = sign
-                try:
-                    _records_at(f, sign)
-                except Broken:
-                    continue
-                at = sign
-                break
-            yield Gap(start, at - start, reason)
+            start, at = at, _next(f, at, size)
+            yield Gap(start, at - start, str(e))
             continue
+        if damaged:
+            length = _next(f, at, size, length) - at
+            for x in records + gaps:
+                x.length = length
         yield from records
         yield from gaps
         at += length
