@@ -418,6 +418,18 @@ def test_licenses(spark):
     assert (got[3].n_notices, got[3].notice_licenses) == (1, "MIT")
 
 
+def test_licenses_under_copyright_lines_of_many_kinds(spark):
+    mit, bsd = licenses.TEXTS["MIT"], licenses.TEXTS["BSD-3-Clause"]
+    lines = ["Copyright (c) Meta Platforms, Inc. and affiliates.", "Copyright (c) Jane Doe", "Copyright (c) [year] [fullname]", "Copyright The Go Authors", "Portions Copyright 2020 X", "© The Authors", "Copyright (c) 2010, X\nAll rights reserved.", "Copyright (c) 2010 X\n\n * All rights reserved.\nCopyright Y"]
+    rows = [(2 * k, x + "\n\n" + mit) for k, x in enumerate(lines)] + [(2 * k + 1, x + "\n" + bsd.replace("\n\n", "\n")) for k, x in enumerate(lines)]
+    wrapped = mit.replace("The above copyright notice", "The above\ncopyright notice").replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS")
+    rows += [(100, lines[1] + "\n" + wrapped), (101, "All rights reserved.\n" + mit), (102, "copyright notice of mine\n" + mit)]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].license_id for k in range(2 * len(lines))] == ["MIT", "BSD-3-Clause"] * len(lines)
+    assert [got[k].license_id for k in (100, 101, 102)] == ["MIT", None, None] and got[12].n_notices == 1
+    assert got[0].canonical_digest == got[100].canonical_digest
+
+
 def test_pipeline_against_brute_force(spark, sf_dir):
     import corpus_pipeline as cp
 

@@ -104,13 +104,16 @@ NOTICES = {
     "All rights reserved.": "all-rights-reserved",
 }
 _COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|©|\(c\))[^a-z0-9\n]*(\(c\)[^a-z0-9\n]*)?([0-9]{4}|<year>|yyyy|by )[^\n]*"
+# Copyright lines without a year too, and the lines after them that reserve all rights. What goes on like a licence's sentence is none.
+_SENTENCE = r"[^a-z0-9\n]*(notices?|holders?|owners?|licen[cs]es?|laws?|statements?|interests?|infringements?|disclaimers?|claims?|acts?|treat(y|ies)|protection|status|permission|and|or|in|is|are|on|to|for|of|as|by law)(?![a-z0-9])"
+_HEADER = rf"(^|\n)[^a-z0-9\n]*((portions[ \t]+)?(copyright(?![a-z])|©)(?!{_SENTENCE})|\(c\)[^a-z0-9\n]*([0-9]{{4}}|<year>|yyyy|by ))[^\n]*(\n[^a-z0-9]*all rights reserved[^a-z0-9\n]*(?=\n|$))*"
 _PUNCTUATION = "[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F‘’“”«»–—…© ]+"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form, lines still apart."""
+def canonical(text: Column, dropped: str = _COPYRIGHT) -> Column:
+    """The canonical form without the lines ``dropped``, lines still apart."""
     out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    out = F.regexp_replace(F.regexp_replace(out, _COPYRIGHT, "\n"), _PUNCTUATION, " ")
+    out = F.regexp_replace(F.regexp_replace(out, dropped, "\n"), _PUNCTUATION, " ")
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return out
@@ -155,7 +158,10 @@ def _table(spark: SparkSession, known: dict[str, str], key: str, value: str) ->
 def license_scan(docs: DataFrame, extra: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, canonical_digest, license_id, n_notices, notice_licenses) per row.
 
-    license_id: the known licence that the whole text is, or null. n_notices:
+    license_id: the known licence that the whole text is, or null. If the text is
+    none as it is, copyright lines without a year and lines after copyright lines
+    that reserve all rights are left out too; canonical_digest is that of the
+    form that is known. n_notices:
     lines that are a known notice; notice_licenses: their licences, distinct,
     sorted, joined by commas, '' if none. A null or empty text has the digest of
     the empty text and no licence. Repeated rows each give a row, null ids stay
@@ -168,9 +174,14 @@ def license_scan(docs: DataFrame, extra: dict[str, str] | None = None, id_col: s
     spark = docs.sparkSession
     licenses, notices = known_licenses(extra), known_notices()
     longest = max(len(canonical_text(t)) for t in NOTICES)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), canonical(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("canon"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    marked = text.rlike("(?i)copyright") | text.contains("©") | text.contains("(c)") | text.contains("(C)")
+    bare = F.when(marked, F.md5(_whole(canonical(text, _HEADER))))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), canonical(text).alias("canon"), bare.alias("bare"))
     lines = F.filter(F.transform(F.split("canon", "\n"), lambda x: F.trim(x)), lambda x: (F.char_length(x) > 0) & (F.char_length(x) <= longest))
-    rows = rows.select("doc_id", F.md5(_whole(F.col("canon"))).alias("canonical_digest"), F.transform(lines, lambda x: F.md5(x)).alias("digests"))
+    digest = F.md5(_whole(F.col("canon")))
+    digest = F.when(F.col("bare").isin(*licenses) & ~digest.isin(*licenses), F.col("bare")).otherwise(digest)
+    rows = rows.select("doc_id", digest.alias("canonical_digest"), F.transform(lines, lambda x: F.md5(x)).alias("digests"))
     rows = rows.join(F.broadcast(_table(spark, licenses, "canonical_digest", "license_id")), "canonical_digest", "left")
     names = F.create_map(*(F.lit(x) for pair in sorted(notices.items()) for x in pair))
     hits = F.array_compact(F.transform(F.filter("digests", lambda d: d.isin(*notices)), lambda d: names[d]))
