@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.lineage import cut
+from weftline.lineage import cut, tidied
 
 
 def _label_sum(labels: DataFrame):
     return labels.agg(F.sum(F.col("p").cast("decimal(38,0)"))).first()[0]
 
 
+@tidied
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node id reachable.
 

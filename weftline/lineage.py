@@ -2,19 +2,24 @@
 
 ``cut`` writes a table below ``spark.checkpoint.dir`` and reads it again, so a
 lost executor costs a re-read and never a recomputation of the whole plan, and
-adaptive execution plans from real sizes.
+adaptive execution plans from real sizes. ``tidied`` operators delete what they
+cut on the way as soon as their result is written.
 """
 
 from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
-import weakref
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_LOCAL = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,21 +41,52 @@ def _delete(jvm, conf, path: str) -> None:
         pass
 
 
-def new_folder(spark: SparkSession, owner: object | None = None) -> str:
-    """A fresh folder name; it is deleted with ``owner``, or when the program ends."""
+def _scopes() -> list[list[tuple]]:
+    if not hasattr(_LOCAL, "scopes"):
+        _LOCAL.scopes = []
+    return _LOCAL.scopes
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes at its end the folders that were made inside and not handed on."""
+    own: list[tuple] = []
+    _scopes().append(own)
+    try:
+        yield
+    finally:
+        _scopes().remove(own)
+        for args in own:
+            _delete(*args)
+
+
+def new_folder(spark: SparkSession, outer: bool = False) -> str:
+    """A fresh folder name; it is deleted with the innermost scope (outer: the one around it), or when the program ends."""
     path = f"{shared_dir(spark)}/weftline-{uuid.uuid4().hex}"
     context = spark.sparkContext
     args = (context._jvm, context._jsc.hadoopConfiguration(), path)
-    if owner is None:
-        atexit.register(_delete, *args)
+    scopes = _scopes()[:-1] if outer else _scopes()
+    if scopes:
+        scopes[-1].append(args)
     else:
-        weakref.finalize(owner, _delete, *args)
+        atexit.register(_delete, *args)
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, outer: bool = False) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder."""
     spark = df.sparkSession
-    path = new_folder(spark)
+    path = new_folder(spark, outer)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tidied(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator with its result written, and everything that it cut on the way deleted."""
+
+    @wraps(operator)
+    def run(*args, **options) -> DataFrame:
+        with scope():
+            return cut(operator(*args, **options), outer=True)
+
+    return run
