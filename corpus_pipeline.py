@@ -1,8 +1,10 @@
 """A corpus pipeline of four stages over ``documents``.
 
 Quality rules drop rejected documents; SimHash near-dedup keeps the first of
-each group of near copies; temperature mixing repeats the smaller sources; and
-best-fit packing lays the token ids of what is left into sequences.
+each group of near copies; temperature mixing repeats the smaller sources and
+lays all documents out in mixed order; and best-fit packing lays the token ids of
+what is left into sequences. What a stage cuts on the way is deleted once its
+output is written.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.lineage import new_folder
+from weftline.lineage import new_folder, scope
 from weftline.llm import mixing, packing, quality, simhash
 from weftline.llm.queries import vocabulary
 from weftline.tables import load
@@ -24,12 +26,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more. Of repeated rows of an id all stay; rows with a null id stay."""
     groups = simhash.simhash_near_duplicates(docs, width=5, similarity=0.8)
-    lost = groups.where("component_id <> id").select(F.col("id").alias("lost_id"))
-    return docs.join(lost, docs["doc_id"].cast("long") == lost["lost_id"], "left_anti")
+    lost = groups.where("component_id <> id").select(F.col("id").alias("pipeline_lost_id"))
+    return docs.join(lost, F.col("doc_id").cast("long") == F.col("pipeline_lost_id"), "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix draws it: once or more in all sources."""
+    """Each document as often as the mix draws it, once or more, in mixed order."""
     return mixing.mix_rows(docs, max_repetition=2.0)
 
 
@@ -49,6 +51,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         path = new_folder(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scope():
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -55,7 +55,7 @@ def test_odd_rows_and_empty_tables(spark, odd, none):
         quality.quality_rules,
         ppm.ppm_scores,
         simhash.simhash_components,
-        mixing.temperature_mix,
+        lambda d: mixing.temperature_mix(d).where("epoch = 0"),
         lambda d: bpe_count.token_counts(d, piece),
         lambda d: packing.pack_documents(d, word),
         lambda d: tokenbin.token_file_round_trip(d, byte, 2),
@@ -85,7 +85,7 @@ def test_trie_finds_all_close_codes():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     codes = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(6)]))
-    got = {(int(i), int(j)) for a, b, _ in trie.close_codes(codes, codes, True, 0, 0, 0, 2) for i, j in zip(a, b, strict=True)}
+    got = {(int(i), int(j)) for a, b in trie.close_codes(codes, codes, True, 0, 0, [2] * 65) for i, j in zip(a, b, strict=True)}
     want = {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if int(codes[i] ^ codes[j]).bit_count() <= 2}
     assert got == want
 
@@ -121,6 +121,11 @@ def test_simhash_components_equal_brute_force(spark, sf_dir):
     assert sorted(map(tuple, queries.op10_simhash(spark, sf_dir).collect())) == want
 
 
+def _jaccard(a, b, width):
+    x, y = (set(zip(*(t.lower().split()[k:] for k in range(width)), strict=False)) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
 def test_near_duplicates_at_the_threshold(spark):
     rng = random.Random(1)
     vocab = [f"w{i}" for i in range(5000)]
@@ -149,7 +154,7 @@ def test_near_duplicates_with_a_repeated_line(spark):
     for k in range(30):
         words, line = rng.choices(vocab, k=400), rng.choices(vocab, k=12)
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + line * 10))]
-        assert simhash._jaccard(rows[-2][1], rows[-1][1], 5) > 0.93
+        assert _jaccard(rows[-2][1], rows[-1][1], 5) > 0.93
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.id: r.component_id for r in simhash.simhash_near_duplicates(d).collect()}
     assert [got[2 * k + 1] for k in range(30)] == [2 * k for k in range(30)]
@@ -162,13 +167,64 @@ def test_near_duplicates_among_texts_of_one_template(spark):
     for k in range(300):  # pairs that are near to each other, in a group that is just below the threshold
         words = template + rng.choices(vocab, k=58)
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-20], *rng.choices(vocab, k=20)]))]
-    assert simhash._jaccard(rows[0][1], rows[2][1], 5) < 0.8 <= simhash._jaccard(rows[0][1], rows[1][1], 5)
+    assert _jaccard(rows[0][1], rows[2][1], 5) < 0.8 <= _jaccard(rows[0][1], rows[1][1], 5)
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.id: r.component_id for r in simhash.simhash_near_duplicates(d).collect()}
     assert all(got[2 * k] == 2 * k for k in range(300))
     assert sum(got[2 * k + 1] == 2 * k for k in range(300)) >= 297
 
 
+def _families(rng, families, copies, length, changes):
+    """Texts of families whose members differ from a base by so many changed words each."""
+    vocab, rows = [f"w{i}" for i in range(20000)], []
+    for _ in range(families):
+        base = rng.choices(vocab, k=length)
+        for _ in range(copies):
+            words = list(base)
+            for _ in range(changes):
+                words[rng.randrange(length)] = rng.choice(vocab)
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+def _exact_groups(rows, similarity=0.8):
+    sets = [set(zip(*(t.lower().split()[k:] for k in range(5)), strict=False)) for _, t in rows]
+    holders = collections.defaultdict(list)
+    for i, x in enumerate(sets):
+        for g in x:
+            holders[g].append(i)
+    links = []
+    for i, x in enumerate(sets):
+        common = collections.Counter(j for g in x for j in holders[g] if j < i)
+        links += [(i, j) for j, c in common.items() if c / (len(x) + len(sets[j]) - c) >= similarity]
+    return links, _components(len(rows), links)
+
+
+@pytest.mark.parametrize("limits", [{}, {"task_codes": 40, "task_shingles": 4000}])
+def test_near_duplicates_in_families_around_the_threshold(spark, limits):
+    rows = _families(random.Random(11), 40, 30, 300, 4)
+    links, want = _exact_groups(rows)
+    got = {r.id: r.component_id for r in simhash.simhash_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **limits).collect()}
+    assert all(want[i] == want[got[i]] for i in range(len(rows)))  # no link below the threshold
+    assert sum(got[i] == got[j] for i, j in links) >= 0.95 * len(links)
+    assert sum(got[i] != i for i in range(len(rows))) >= 0.95 * sum(want[i] != i for i in range(len(rows)))
+
+
+def test_spanning_links_equal_all_pairs():
+    rows = _families(random.Random(4), 3, 20, 120, 3) + _families(random.Random(5), 1, 5, 6, 1) + [(0, ""), (0, "one")]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    sets = [simhash.shingle_set(t, 5) for _, t in rows]
+    _, want = _exact_groups(rows)
+    i, j = simhash.spanning_within(sets, 0.8)
+    assert _components(len(sets), list(zip(i, j, strict=True))) == want
+    half = len(sets) // 2
+    parts = np.arange(len(sets))
+    x, y = simhash.spanning_across(sets[:half], sets[half:], parts[:half], parts[half:], 0.8)
+    across = [(a, b + half) for a, b in zip(x, y, strict=True)]
+    inside = [(a, b) for a, b in _exact_groups(rows)[0] if (a < half) == (b < half)]
+    assert _components(len(sets), inside + across) == want
+
+
 def test_forest_of_dense_and_odd_vectors(spark):
     rng = np.random.default_rng(2)
     center = rng.standard_normal(16)
@@ -392,21 +448,48 @@ def test_best_fit_closes_the_fullest():
     assert bins.tolist() == [0, 1, 2, 1, 2]  # the bin with six was closed when the third was opened
 
 
+def _mix_source():
+    return [(k, "w " * 50, "big") for k in range(800)] + [(1000 + k, "w " * 50, f"s{k % 4}") for k in range(80)]
+
+
 def test_mixing_limits(spark):
-    rows = [(k, "w " * 50, "big") for k in range(800)] + [(1000 + k, "w " * 50, f"s{k % 4}") for k in range(80)]
-    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    d = spark.createDataFrame(_mix_source(), "doc_id long, text string, source string")
     got = mixing.temperature_mix(d, max_repetition=3.0, block_tokens=200).collect()
-    assert all(r.copies == 1 for r in got if r.source == "big")
+    times = collections.Counter((r.source, r.doc_id) for r in got)
+    assert all(n == 1 for (source, _), n in times.items() if source == "big")
     drawn = collections.Counter()
     for r in got:
-        drawn[r.source] += r.copies * r.n_tokens
+        drawn[r.source] += r.n_tokens
     assert all(2.9 <= drawn[f"s{k}"] / 1000 <= 3.0 for k in range(4))
+    for source in drawn:  # the draws of a source follow each other without gaps
+        starts = sorted((r.start, r.n_tokens) for r in got if r.source == source)
+        assert all(s + n <= t for (s, n), (t, _) in zip(starts, starts[1:], strict=False))
     exponent = mixing.find_exponent(spark.createDataFrame([(8.0,), (1.0,), (1.0,)], "n double"), target_entropy=1.0)
     p = np.array([8.0, 1.0, 1.0]) ** exponent
     p /= p.sum()
     assert abs(-(p * np.log(p)).sum() - 1.0) < 1e-4
     small = mixing.temperature_mix(d, max_repetition=3.0, budget_tokens=10_000, block_tokens=200).collect()
-    assert abs(sum(r.copies * r.n_tokens for r in small) - 10_000) <= 50 * 6 and any(r.copies == 0 for r in small)
+    assert abs(sum(r.n_tokens for r in small if r.epoch is not None) - 10_000) <= 50 * 6 and any(r.epoch is None for r in small)
+    assert {r.doc_id for r in small} == {k for k, _, _ in _mix_source()}
+
+
+def test_mixed_rows_lie_apart_and_by_weight(spark):
+    rows = [(*r, "m", "q", None) for r in _mix_source()]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_copies string, place string, row string").repartition(7)
+    out = mixing.mix_rows(d, max_repetition=3.0, block_tokens=200)
+    got = out.collect()
+    assert out.columns == d.columns
+    want = collections.Counter(r.doc_id for r in mixing.temperature_mix(d, max_repetition=3.0, block_tokens=200).collect())
+    assert collections.Counter(r.doc_id for r in got) == want
+    last = {}
+    for k, r in enumerate(got):
+        assert k - last.get(r.doc_id, -1000) > 100  # no copy near another
+        last[r.doc_id] = k
+    parts = [collections.Counter(r.source for r in got[k : k + len(got) // 4]) for k in range(0, len(got) - 3, len(got) // 4)]
+    assert all(abs(p["big"] / sum(p.values()) - 800 / len(got)) < 0.05 for p in parts)
+    odd = spark.createDataFrame([*ROWS, (6, None, None, None, None, None, None, None)], DOC)
+    assert collections.Counter(r.doc_id for r in mixing.mix_rows(odd).collect())[4] >= 2
+    assert mixing.mix_rows(odd.limit(0)).count() == 0
 
 
 def test_licenses(spark):
@@ -445,9 +528,9 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     single = cp.dedup_stage(spark, kept, sf_dir)
     assert {r.doc_id for r in single.collect()} == first
     mixed = cp.mixing_stage(spark, single, sf_dir)
-    copies = {r.doc_id: r.copies for r in mixing.temperature_mix(single, max_repetition=2.0).collect()}
-    assert collections.Counter(r.doc_id for r in mixed.collect()) == collections.Counter(copies) and min(copies.values()) >= 1
+    copies = collections.Counter(r.doc_id for r in mixing.temperature_mix(single, max_repetition=2.0).collect())
+    assert collections.Counter(r.doc_id for r in mixed.collect()) == copies and set(copies) == {r.doc_id for r in single.collect()}
     packed = cp.packing_stage(spark, mixed, sf_dir).collect()
     _check_packing(packed)
-    assert collections.Counter(r.doc_id for r in packed if r.piece == 0) == collections.Counter(copies)
+    assert collections.Counter(r.doc_id for r in packed if r.piece == 0) == copies
     assert cp.run(spark, sf_dir).count() == len(packed)

@@ -4,7 +4,8 @@ A reference is the pooled histogram of all documents of one language that pass
 the base rules: shares of character classes, and shares of that language's
 common words. A document is held against every reference by Jensen-Shannon
 distance and keeps the nearest; it is rejected if even that one is too far.
-Short documents say too little and are not judged.
+Short documents say too little and are not judged, nor are documents of a
+language that has no reference.
 """
 
 from __future__ import annotations
@@ -123,7 +124,8 @@ def judged(table: DataFrame) -> DataFrame:
     best = F.array_min(F.array(*each)) if each else F.lit(None).cast("struct<d:double,a:double,b:double,l:string>")
     out = table.withColumn("q_best", best).withColumn("base_failed", base_failed())
     far = (F.col("q_best.a") > FAR_CLASSES) | (F.col("q_best.b") > FAR_WORDS)
-    kept = F.when(F.col("base_failed"), False).when((F.col("q_words") < LEAST_WORDS) | F.col("q_best").isNull(), True).otherwise(~far)
+    silent = (F.col("q_words") < LEAST_WORDS) | F.col("q_best").isNull() | ~F.coalesce(F.col("q_lang").isin(*refs), F.lit(False))
+    kept = F.when(F.col("base_failed"), False).when(silent, True).otherwise(~far)
     return out.withColumns({"class_distance": F.col("q_best.a"), "word_distance": F.col("q_best.b"), "kept": kept})
 
 
@@ -131,8 +133,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the two distances) per row.
 
     A null text has no words and fails the base rules, as an empty one does.
-    Null or unknown languages add to no reference but are judged. Repeated rows
-    each give a row; null ids stay null; other columns are not read. An empty
+    A document whose language is null or has no reference adds to none and is held
+    to the base rules alone. Repeated rows each give a row; null ids stay null; other columns are not read. An empty
     table gives an empty result. If no document passes the base rules there is
     no reference, and the base rules alone decide.
     """
@@ -144,9 +146,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns as they are."""
-    names = docs.columns
-    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("q_row")
+    """The rows of ``docs`` that are kept, all columns as they are.
+
+    The counts are taken twice, once for the references and once to judge, so no
+    text is written on the way. Columns may have any names, those used here
+    included. Null and empty texts fail the base rules; else see
+    ``quality_rules``. An empty table gives an empty one.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("q_row")
     packed = docs.select(row, F.col(f"`{text_col}`").alias("q_in"), F.col(f"`{lang_col}`").alias("q_lang_in"))
-    table = cut(features(packed, "q_in", "q_lang_in").select("q_row", *_KEPT))
-    return judged(table).where("kept").select("q_row.*")
+    return judged(features(packed, "q_in", "q_lang_in").select("q_row", *_KEPT)).where("kept").select("q_row.*")

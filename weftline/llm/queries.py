@@ -140,7 +140,7 @@ q_refs AS ({" UNION ALL ".join(shares)}),
 q_each AS ({" UNION ALL ".join(each)}),
 q_far AS (SELECT r, l, sqrt(greatest({half("list_transform(pc, lambda x: CASE WHEN nc > 0 THEN x::DOUBLE / nc ELSE 0.0 END)", "qc")} / 2, 0)) AS a, sqrt(greatest({half("list_transform(pw, lambda x: CASE WHEN n_words > 0 THEN x::DOUBLE / n_words ELSE 0.0 END)", "qw")} / 2, 0)) AS b FROM q_each JOIN q_refs USING (l)),
 q_best AS (SELECT r, arg_min(struct_pack(a := a, b := b), struct_pack(d := a / {q.FAR_CLASSES} + b / {q.FAR_WORDS}, a := a, b := b, l := l)) AS z FROM q_far GROUP BY r),
-judged AS (SELECT q_all.*, z.a AS class_distance, z.b AS word_distance, CASE WHEN base_failed THEN false WHEN n_words < {q.LEAST_WORDS} OR z IS NULL THEN true ELSE NOT (z.a > {q.FAR_CLASSES} OR z.b > {q.FAR_WORDS}) END AS kept FROM q_all LEFT JOIN q_best USING (r))""",
+judged AS (SELECT q_all.*, z.a AS class_distance, z.b AS word_distance, CASE WHEN base_failed THEN false WHEN n_words < {q.LEAST_WORDS} OR z IS NULL OR NOT coalesce(lang IN (SELECT l FROM q_refs), false) THEN true ELSE NOT (z.a > {q.FAR_CLASSES} OR z.b > {q.FAR_WORDS}) END AS kept FROM q_all LEFT JOIN q_best USING (r))""",
         "q_rows",
     )
 
@@ -162,11 +162,12 @@ e AS (SELECT *, CASE WHEN most / least <= 2 THEN 0 ELSE ceil((1 - ln(2) / ln(mos
 p AS (SELECT s.*, CASE WHEN n > 0 THEN pow(n / total, a) ELSE 0 END AS x, pow(most / total, a) AS top, most FROM s, e),
 w AS (SELECT sid, n, x / (SELECT sum(x) FROM p) AS weight, round(CASE WHEN n > 0 THEN x / top * most / n ELSE 1 END, 9) AS repetition, least(ceil(n / {mixing.BLOCK_TOKENS})::BIGINT, {mixing.SOURCE_BLOCKS}) AS blocks FROM p),
 plan AS (SELECT *, floor(repetition)::BIGINT AS passes, floor((repetition - floor(repetition)) * n + 0.5)::BIGINT AS part FROM w),
-dealt AS (SELECT d.*, plan.* EXCLUDE (sid), ('0x' || substr(md5('mix:' || key), 1, 12))::BIGINT % greatest(blocks, 1) AS block, ('0x' || substr(md5('mix:' || passes || ':' || key), 1, 12))::BIGINT AS turn FROM d JOIN plan USING (sid)),
-b AS (SELECT sid, block, sum(n_tokens)::BIGINT AS size, any_value(passes) AS passes FROM dealt GROUP BY sid, block),
-o AS (SELECT sid, block, size, sum(size) OVER (PARTITION BY sid ORDER BY ('0x' || substr(md5('mix:' || sid || ':' || passes || ':' || block), 1, 12))::BIGINT, block ROWS UNBOUNDED PRECEDING) - size AS first FROM b),
-x AS (SELECT dealt.*, first, size, first + sum(n_tokens) OVER (PARTITION BY dealt.sid, dealt.block ORDER BY turn, doc_id NULLS LAST, n_tokens ROWS UNBOUNDED PRECEDING) AS last FROM dealt JOIN o ON o.sid = dealt.sid AND o.block = dealt.block)
-SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, round(repetition, 6) AS repetition, (passes + CASE WHEN n_tokens > 0 AND (first + size <= part OR last <= part) THEN 1 ELSE 0 END)::BIGINT AS copies FROM x"""
+dealt AS (SELECT row_number() OVER () AS r, d.*, plan.* EXCLUDE (sid), ('0x' || substr(md5('mix:' || key), 1, 12))::BIGINT % greatest(blocks, 1) AS block FROM d JOIN plan USING (sid)),
+b AS (SELECT *, unnest(range(passes + 1)) AS epoch FROM (SELECT sid, block, sum(n_tokens)::BIGINT AS size, any_value(passes) AS passes, any_value(part) AS part, any_value(n) AS n FROM dealt GROUP BY sid, block)),
+o AS (SELECT *, sum(size) OVER (PARTITION BY sid, epoch ORDER BY block % 2, ('0x' || substr(md5('mix:' || sid || ':' || epoch || ':' || block), 1, 12))::BIGINT, block ROWS UNBOUNDED PRECEDING) - size AS first FROM b),
+x AS (SELECT dealt.*, epoch, epoch * dealt.n + first + sum(n_tokens) OVER (PARTITION BY dealt.sid, dealt.block, epoch ORDER BY ('0x' || substr(md5('mix:' || key), 1, 12))::BIGINT >> 47, ('0x' || substr(md5('mix:' || epoch || ':' || key), 1, 12))::BIGINT, doc_id NULLS LAST, n_tokens ROWS UNBOUNDED PRECEDING) AS last FROM dealt JOIN o ON o.sid = dealt.sid AND o.block = dealt.block)
+SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, round(repetition, 6) AS repetition, epoch, (last - n_tokens)::BIGINT AS start, round((last - n_tokens) / greatest(passes * n + part, 1), 9) AS position
+FROM x WHERE epoch < passes OR (n_tokens > 0 AND last <= passes * n + part)"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.components import connected_components
-from weftline.lineage import cut
+from weftline.lineage import cut, tidied
+from weftline.llm.groups import links_in_groups
 from weftline.llm.text import hashes, lowered_words, shingles, slices
-from weftline.llm.trie import left_out, near_links
+from weftline.llm.trie import TASK_CODES, Forest, near_links, prefix_links
 
-#: Mean codes below a node where tasks begin, with several codes of a text: each level above costs a copy of all codes.
-STAGE_NODE_CODES = 32_768
+#: Exact bits of a code at least, and texts that agree in them by chance from which on more bits are taken.
+LEAST_EXACT, NODE_TEXTS = 12, 4096
+#: Shingles that one task compares.
+TASK_SHINGLES = 1 << 20
 _ONES = np.uint64(0x0101010101010101)
 _BLOCK = 255  # rows whose bits add up in a byte
 
@@ -44,27 +50,39 @@ def _spread(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, width: int, extra_words: int = 0, block: int = 65536) -> np.ndarray:
-    """The SimHash of a text's shingles: a bit is 1 if set in over half the hashes. No words: all zero.
-
-    extra_words 0: one word of the XXH64 hashes (seed 42), repeats counted; else
-    so many words of further hashes of the distinct shingles, so that differing
-    bits follow the similarity of the sets. Long texts are taken in blocks of
-    shingles.
-    """
+def _shingle_hashes(text: str | None, width: int, block: int = 65536) -> Iterator[np.ndarray]:
+    """The XXH64 hashes (seed 42) of a text's shingles, repeats included, in blocks."""
     words = lowered_words(text)
     n = max(0, len(words) - width + 1) or bool(words)
-    total = np.zeros((extra_words or 1, 64), np.int64)
-    parts = (hashes(shingles(words[at : min(at + block, n) + width - 1], width)) for at in range(0, n, block))
-    if extra_words and n:
-        distinct = np.unique(np.concatenate(list(parts)))
-        n = len(distinct)
-        parts = (distinct[at : at + block] for at in range(0, n, block))
+    for at in range(0, n, block):
+        yield hashes(shingles(words[at : min(at + block, n) + width - 1], width))
+
+
+def _majority(parts: Iterable[np.ndarray], extra_words: int = 0) -> np.ndarray:
+    """Words of which a bit is 1 if set in over half the hashes: of the hashes themselves, or so many words of further hashes. No hashes: all zero."""
+    total, n = np.zeros((extra_words or 1, 64), np.int64), 0
     for h in parts:
+        n += len(h)
         total += bit_counts(_spread(h, extra_words) if extra_words else h[:, None])
     return _words_of_bits(2 * total > n)
 
 
+def fingerprint(text: str | None, width: int, block: int = 65536) -> np.ndarray:
+    """The SimHash of a text's shingles, repeats counted; long texts are taken in blocks of shingles."""
+    return _majority(_shingle_hashes(text, width, block))
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct shingles of a text as ascending hashes."""
+    parts = list(_shingle_hashes(text, width))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def sketch(distinct: np.ndarray, words: int, block: int = 16384) -> np.ndarray:
+    """So many SimHash words of a set of hashes; their differing bits follow the similarity of the sets."""
+    return _majority((distinct[at : at + block] for at in range(0, len(distinct), block)), words)
+
+
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the 64-bit SimHash of each row as a signed long. Null and empty texts: 0."""
 
@@ -95,93 +113,175 @@ def simhash_components(docs: DataFrame, width: int = 3, budget: int = 2, id_col:
     return fps.join(labels, "fp", "left").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Share of differing bits between SimHashes of two sets of Jaccard similarity s: angle / pi.
 def expected_difference(similarity: float) -> float:
+    """Share of differing bits between SimHashes of two sets of a Jaccard similarity: angle / pi."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def plan_tables(n: int, similarity: float, budget: int = 3, recall: float = 0.99) -> tuple[int, int]:
-    """(bits of a code, number of codes): half a code tells most of n texts apart; enough codes for the recall at the threshold."""
-    half = min(32, max(16, n.bit_length() - 3))
-    bits, p = 2 * half, expected_difference(similarity)
-    hit = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(budget + 1))
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
+@dataclass(frozen=True)
+class Plan:
+    """Codes of 128 bits: ``exact`` bits of their own, and as many of one shared sketch as are left."""
 
+    exact: int
+    tables: int
+    allowed: tuple[int, ...]
+    total: int
 
-def _jaccard(a: str | None, b: str | None, width: int) -> float:
-    x, y = set(shingles(lowered_words(a), width)), set(shingles(lowered_words(b), width))
-    both = len(x & y)
-    return both / (len(x) + len(y) - both) if x or y else 1.0
+    @property
+    def words(self) -> int:
+        return -(-(self.tables * self.exact + 128 - self.exact) // 64)
 
 
-def simhash_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) per distinct id: groups of texts whose shingle sets have the Jaccard similarity or more.
+def plan_codes(n: int, similarity: float, recall: float = 0.99) -> Plan:
+    """The codes by which n texts are joined.
 
-    Texts with equal words (A-Z lowered) are one class. Each class gets several
-    SimHash codes of independent hashes; classes with any two codes within
-    ``budget`` bits are candidates, found by the trie join. The number of codes
-    follows from the wanted recall at the threshold. Candidates that are far
-    apart over all codes together are left out; the others are compared exactly,
-    on their whole sets of shingles. Spanning links come first, nearest first;
-    where one fails, all candidates of its group that are not yet joined follow.
-    Null and empty texts are one class. Repeated rows of an id count once; null
-    ids are left out.
+    A code leads to one node by its exact bits: NODE_TEXTS texts by chance, if
+    there are many texts, fewer otherwise. So many tables are taken that a pair at
+    the threshold agrees in the exact bits of one of them with probability
+    ``recall``. Below, differing bits may exceed what is expected at the threshold
+    by four deviations on the way and by three in all 128 bits.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        for part in slices(batches):
-            d = [hashlib.md5(b" ".join(lowered_words(t))).digest() for t in part.column(1).to_pylist()]
-            yield pa.record_batch([part.column(0), pa.array(d, pa.binary())], names=["id", "d"])
-
-    ids = cut(rows.where("id is not null").mapInArrow(digests, "id long, d binary"))
-    classes = cut(ids.groupBy("d").agg(F.min("id").alias("head")))
-    n = classes.count()
-    bits, tables = plan_tables(n, similarity, budget)
-    words = math.ceil(bits * tables / 64)
+    p = expected_difference(similarity)
+    exact = max(LEAST_EXACT, (n // NODE_TEXTS).bit_length())
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** exact))
+
+    def most(bits: int, deviations: float) -> int:
+        return math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+
+    allowed = tuple(0 if d <= exact else most(d - exact, 4.0) for d in range(65))
+    return Plan(exact, tables, allowed, most(128 - exact, 3.0))
+
+
+def _code_words(words: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """(first words of a text's codes, one for each table; the second word, that of all)."""
+    bits = np.unpackbits(words.view(np.uint8), bitorder="little")
+    own, shared = bits[: plan.tables * plan.exact].reshape(plan.tables, plan.exact), bits[plan.tables * plan.exact :][: 128 - plan.exact]
+    high = np.hstack((own, np.broadcast_to(shared[: 64 - plan.exact], (plan.tables, 64 - plan.exact))))
+    pack = lambda x: np.packbits(x, axis=-1).view(">u8").astype(np.uint64)
+    return pack(high)[:, 0], pack(shared[64 - plan.exact :])
+
+
+class _Index:
+    """Which of some sets hold a shingle; tells the similarity of a set to all of them exactly."""
+
+    def __init__(self, sets: list[np.ndarray], rows: np.ndarray):
+        self.rows, self.size = rows, np.array([len(sets[r]) for r in rows], np.int64)
+        flat, of = np.concatenate([sets[r] for r in rows]), np.repeat(np.arange(len(rows)), self.size)
+        order = np.argsort(flat, kind="stable")
+        flat, self.of = flat[order], of[order]
+        new = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
+        self.keys, self.start = flat[new], np.concatenate((new, [len(flat)]))
+
+    def alike(self, own: np.ndarray, similarity: float) -> np.ndarray:
+        """Positions in ``rows`` of the sets with the similarity or more; an empty set has no partners."""
+        at = np.searchsorted(self.keys, own)
+        at = at[(at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == own)] if len(self.keys) else at[:0]
+        first, n = self.start[at], self.start[at + 1] - self.start[at]
+        common = np.zeros(len(self.rows), np.int64)
+        for lo in range(0, len(at), 4096):
+            f, m = first[lo : lo + 4096], n[lo : lo + 4096]
+            place = np.repeat(f - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum())
+            common += np.bincount(self.of[place], minlength=len(self.rows))
+        return np.flatnonzero((common > 0) & (common / np.maximum(len(own) + self.size - common, 1) >= similarity))
+
+
+def spanning_within(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links (i, j) that span the components of all pairs of sets with the similarity or more: a search that meets every set once."""
+    left = np.ones(len(sets), bool)
+    index = _Index(sets, np.arange(len(sets)))
+    out_i, out_j = [], []
+    for seed in range(len(sets)):
+        if not left[seed]:
+            continue
+        left[seed] = False
+        stack = [seed]
+        while stack:
+            i = stack.pop()
+            found = index.rows[index.alike(sets[i], similarity)]
+            found = found[left[found]]
+            left[found] = False
+            out_i += [i] * len(found)
+            out_j += found.tolist()
+            stack += found.tolist()
+            if (n := int(left.sum())) < len(index.rows) // 2:  # sets that are reached need not be found again
+                if not n:
+                    return out_i, out_j
+                index = _Index(sets, np.flatnonzero(left))
+    return out_i, out_j
+
+
+def spanning_across(x: list[np.ndarray], y: list[np.ndarray], x_parts: np.ndarray, y_parts: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Links (i of x, j of y) that join the parts as all pairs of similar sets of different parts would."""
+    _, part = np.unique(np.concatenate((x_parts, y_parts)), return_inverse=True)
+    forest, index = Forest(int(part.max()) + 1 if len(part) else 0), _Index(y, np.arange(len(y)))
+    out_i, out_j = [], []
+    for i, own in enumerate(x):
+        found = index.alike(own, similarity)
+        q = part[len(x) + found]
+        apart = forest.parent[q] != forest.parent[part[i]]
+        q, first = np.unique(q[apart], return_index=True)
+        forest.add(np.full(len(q), part[i]), q)
+        out_i += [i] * len(q)
+        out_j += found[apart][first].tolist()
+    return out_i, out_j
+
+
+@tidied
+def simhash_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", task_codes: int = TASK_CODES, task_shingles: int = TASK_SHINGLES) -> DataFrame:
+    """(id, component_id) per distinct id: groups of texts whose sets of shingles have the Jaccard similarity or more.
+
+    Texts with equal sets of shingles (words with A-Z lowered) are one class. Each
+    class gets several SimHash codes; those that meet in the trie join are
+    candidates. The candidates' components are then compared exactly on whole sets
+    of shingles: every pair of a component, not only the candidates, but for pairs
+    that are joined already. So a link is lost only if its ends lie in no common
+    component of candidates. The angle formula holds for large sets: of sets below
+    some ten shingles, pairs at the threshold are missed more often (7 in 100).
+
+    Null texts and such without words are one class. Repeated rows of an id count
+    once; an id with several texts stands for all of them. Null ids are left out.
+    Other columns are not read. An empty table gives an empty result.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null")
+    plan = plan_codes(rows.count(), similarity)
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            out = []
+            digests, highs, lows = [], [], []
             for t in part.column(1).to_pylist():
-                raw = np.unpackbits(fingerprint(t, width, words).view(np.uint8), bitorder="little")[: bits * tables].reshape(tables, bits)
-                wide = np.zeros((tables, 64), np.uint8)
-                wide[:, :bits] = raw
-                out.append(np.packbits(wide, axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64).tolist())
-            yield pa.record_batch([part.column(0), pa.array(out, pa.list_(pa.int64()))], names=["id", "codes"])
-
-    # the codes of all rows first, then those of the heads: no text is shuffled
-    coded = rows.mapInArrow(codes, "id long, codes array<long>").join(classes.select(F.col("head").alias("id")), "id", "left_semi")
-    coded = cut(coded.groupBy("id").agg(F.min("codes").alias("codes")))
-    found = cut(near_links(coded.select("id", F.posexplode("codes").alias("tree", "code")).withColumn("tree", F.col("tree").cast("long")), bits, budget, node_codes=STAGE_NODE_CODES, groups=True))
-    # far apart over all codes: six deviations beyond what is expected at the threshold
-    p, width_all = expected_difference(similarity), bits * tables
-    most = math.floor(width_all * p + 6 * math.sqrt(width_all * p * (1 - p)))
-    differing = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                own = shingle_set(t, width)
+                high, low = _code_words(sketch(own, plan.words), plan)
+                digests.append(hashlib.md5(own.tobytes()).digest())
+                highs.append(high.view(np.int64))
+                lows.append(low.view(np.int64)[0])
+            ends = pa.array(np.arange(len(highs) + 1, dtype=np.int32) * plan.tables)
+            yield pa.record_batch([part.column(0), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(highs) if highs else np.zeros(0, np.int64))), pa.array(lows, pa.int64())], names=["id", "d", "high", "low"])
+
+    coded = cut(rows.mapInArrow(codes, "id long, d binary, high array<long>, low long"))
+    classes = cut(coded.groupBy("d").agg(F.min("id").alias("head"), F.first("high").alias("high"), F.first("low").alias("low")))
+    spread = classes.select(F.col("head").alias("id"), "low", F.posexplode("high").alias("tree", "high")).select(F.col("tree").cast("long").alias("tree"), "high", "low", "id")
+    found = connected_components(prefix_links(spread, plan.exact, plan.allowed, plan.total, task_codes).distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            ta, tb = part.column(2).to_pylist(), part.column(3).to_pylist()
-            ok = pa.array([_jaccard(x, y, width) >= similarity for x, y in zip(ta, tb, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(ok)
-
-    def proved(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(coded.select(F.col("id").alias("a"), F.col("codes").alias("ca")), "a").join(coded.select(F.col("id").alias("b"), F.col("codes").alias("cb")), "b")
-        near = cut(near.where(differing <= most).select("a", "b"))
-        texts = rows.join(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
-        texts = cut(texts)
-        one = cut(near.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a"))
-        both = one.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
-        return cut(both.mapInArrow(verify, "a long, b long"))
-
-    pairs = cut(found.where("group is null and a <> b").select("a", "b").distinct())
-    links = proved(pairs)
-    # where a spanning link has failed, the pairs that it stood for are compared too
-    rest = cut(left_out(found.where("group is not null").select(F.col("a").alias("id"), "group", "code"), connected_components(links), budget).join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionByName(proved(rest))
-    joined = connected_components(links)
+            own = [shingle_set(t, width).view(np.int64) for t in part.column(2).to_pylist()]
+            yield pa.record_batch([part.column(0), part.column(1), pa.array([len(x) + 16 for x in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["group", "id", "weight", "shingles"])
+
+    members = cut(found.select(F.col("component").alias("group"), F.col("node").alias("id")))
+    fetched = cut(rows.join(members, "id").select("group", "id", "t").mapInArrow(sets, "group long, id long, weight long, shingles array<long>"))
+
+    def within(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        ids = frame["id"].to_numpy()
+        i, j = spanning_within([np.asarray(x).view(np.uint64) for x in frame["shingles"]], similarity)
+        return ids[i], ids[j]
+
+    def across(x: pd.DataFrame, y: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        i, j = spanning_across(*([np.asarray(v).view(np.uint64) for v in f["shingles"]] for f in (x, y)), x["part"].to_numpy(), y["part"].to_numpy(), similarity)
+        return x["id"].to_numpy()[i], y["id"].to_numpy()[j]
+
+    # small components share a task: what is compared across them is compared exactly too
+    tasks = 1 + 2 * (fetched.agg(F.sum("weight")).first()[0] or 0) // task_shingles
+    fetched = fetched.withColumn("whole", F.pmod(F.xxhash64("group"), F.lit(tasks)))
+    joined = connected_components(links_in_groups(fetched, task_shingles, within, across, ["shingles"], "whole"))
     labels = cut(classes.join(joined, classes["head"] == joined["node"], "left").select("d", F.coalesce("component", "head").alias("component_id")))
-    return ids.join(labels, "d").groupBy("id").agg(F.min("component_id").alias("component_id"))
+    return coded.select("id", "d").join(labels, "d").groupBy("id").agg(F.min("component_id").alias("component_id"))
