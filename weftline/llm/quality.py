@@ -102,10 +102,14 @@ def _word_columns(lang: str) -> list[Column]:
 
 def references(table: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """Pooled shares per language over all documents that pass the base rules and are long enough; a row for each of the few languages."""
-    ok = table.where(~base_failed() & (F.col("q_words") >= LEAST_WORDS) & F.col("q_lang").isin(*COMMON_WORDS))
-    sums = [F.sum(F.col(c)).cast("double").alias(c) for c in ("q_words", *(f"c_{k}" for k in CLASSES), *(f"w_{w}" for w in WORDS))]
+    # counted where it holds, not filtered: a filter would be moved below the counts and take them anew
+    ok = F.coalesce(~base_failed() & (F.col("q_words") >= LEAST_WORDS), F.lit(False))
+    sums = [F.sum(F.when(ok, F.col(c)).otherwise(0)).cast("double").alias(c) for c in ("q_words", *(f"c_{k}" for k in CLASSES), *(f"w_{w}" for w in WORDS))]
+    found = table.where(F.col("q_lang").isin(*COMMON_WORDS)).groupBy("q_lang").agg(*sums)
     out = {}
-    for r in ok.groupBy("q_lang").agg(*sums).collect():
+    for r in found.collect():
+        if not r["q_words"]:
+            continue
         chars = sum(r[f"c_{k}"] for k in CLASSES)
         own = [r[f"w_{w}"] for w in COMMON_WORDS[r["q_lang"]]]
         out[r["q_lang"]] = ([r[f"c_{k}"] / chars for k in CLASSES], [x / r["q_words"] for x in [*own, r["q_words"] - sum(own)]])
@@ -155,4 +159,7 @@ def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("q_row")
     packed = docs.select(row, F.col(f"`{text_col}`").alias("q_in"), F.col(f"`{lang_col}`").alias("q_lang_in"))
-    return judged(features(packed, "q_in", "q_lang_in").select("q_row", *_KEPT)).where("kept").select("q_row.*")
+    out = judged(features(packed, "q_in", "q_lang_in").select("q_row", *_KEPT))
+    # always true, but not to the optimizer: so the filter stays above the counts, which are taken once
+    kept = F.col("kept") & (F.spark_partition_id() >= 0)
+    return out.select("q_row", kept.alias("q_kept")).where("q_kept").select("q_row.*")
