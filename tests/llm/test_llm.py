@@ -297,60 +297,71 @@ def test_warc_odd_pages(spark):
     assert warc.warc_round_trip(d.limit(0)).count() == 0
 
 
-def test_ppm_equals_brute_force():
-    texts = ["abab", "abba", "aab", "", None, "bbbé"]
+def _ppm(train, texts):
+    """Log10 probabilities by method C with exclusion, from counts of all contexts."""
     seen = collections.defaultdict(collections.Counter)
-    for t in texts:
+    for t in train:
         s = ppm.symbols(t).tolist()
         for i in range(ppm.ORDER, len(s)):
             for k in range(ppm.ORDER + 1):
                 seen[tuple(s[i - k : i])][s[i]] += 1
-    g = np.concatenate([ppm.grams(ppm.symbols(t)) for t in texts])
-    table = lambda k: np.unique(g & ((1 << 9 * (k + 1)) - 1), return_counts=True)
-    model = ppm.Trie(table(2), [table(3), table(4), table(5)])
-    for t in ["abab", "ba", "zz", "", "é", "aabbab bab"]:
-        s, total = ppm.symbols(t).tolist(), 0.0
-        for i in range(ppm.ORDER, len(s)):
-            left_out, p = set(), 1.0
-            for k in range(ppm.ORDER, -1, -1):
-                c = {a: n for a, n in seen.get(tuple(s[i - k : i]), {}).items() if a not in left_out}
-                if not c:
-                    continue
-                if s[i] in c:
-                    p *= c[s[i]] / (sum(c.values()) + len(c))
-                    break
-                p *= len(c) / (sum(c.values()) + len(c))
-                left_out |= set(c)
-            else:
-                p /= 257 - len(left_out)
-            total += math.log10(p)
-        assert abs(total - model.score([t])[0]) < 1e-4
-
-
-def test_ppm_scores_by_all_contexts_at_any_capacity(spark):
+    known = {}
+
+    def log(window):
+        left_out, p = set(), 1.0
+        for k in range(ppm.ORDER, -1, -1):
+            c = {a: n for a, n in seen.get(window[ppm.ORDER - k : -1], {}).items() if a not in left_out}
+            if not c:
+                continue
+            if window[-1] in c:
+                return math.log10(p * c[window[-1]] / (sum(c.values()) + len(c)))
+            p *= len(c) / (sum(c.values()) + len(c))
+            left_out |= set(c)
+        return math.log10(p / (257 - len(left_out)))
+
+    out = []
+    for t in texts:
+        s = ppm.symbols(t).tolist()
+        windows = [tuple(s[i - ppm.ORDER : i + 1]) for i in range(ppm.ORDER, len(s))]
+        for w in windows:
+            if w not in known:
+                known[w] = log(w)
+        out.append(math.fsum(known[w] for w in windows))
+    return out
+
+
+def _held_out(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+
+
+@pytest.mark.parametrize("head", [1 << 22, 200, 0])
+def test_ppm_scores_equal_brute_force_at_any_head(spark, head):
     rng = random.Random(3)
     words = ["".join(rng.choices("abcdeé", k=rng.randrange(1, 7))) for _ in range(60)]
     rows = [(i, None if i == 7 else "" if i == 8 else " ".join(rng.choices(words, k=40)) + "xyz"[: i % 4]) for i in range(60)]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    whole, cut = ({r.doc_id: r.score for r in ppm.ppm_scores(d, capacity=n).collect()} for n in (100_000, 20))
-    assert whole.keys() == cut.keys() and all(abs(whole[i] - cut[i]) < 1e-3 for i in whole)
+    rows += [(None, "zz top"), (3, "twice"), (3, "twice"), (70, "ab" * 40000)]
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in ppm.ppm_scores(spark.createDataFrame(rows, "doc_id long, text string"), head=head).collect())
+    want = _ppm([t for i, t in rows if not _held_out(i)], [t for _, t in rows])
+    want = sorted((str(i), len((t or "").split()) + 1, p) for (i, t), p in zip(rows, want, strict=True))
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) <= 1e-6 * abs(b[2]) + 1e-9 for a, b in zip(got, want, strict=True))
 
 
 def test_ppm_base_and_held_out(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     got = {r.doc_id: r for r in queries.op5_ppm_scores(spark, sf_dir).collect()}
-    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in docs}
+    held = {i: _held_out(i) for i, _ in docs}
+    scores = _ppm([t for i, t in docs if not held[i]], [t for _, t in docs])
     c = collections.Counter()
     for i, t in docs:
         if not held[i]:
             c.update([*t.encode().lower().split(), None])
     n, v = sum(c.values()), len(c)
-    for i, t in docs:
+    for (i, t), score in zip(docs, scores, strict=True):
         w = [*t.encode().lower().split(), None]
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(c[x] > 0 for x in w), n)
         assert abs(r.base_score - sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)) < 1e-6
-        assert r.score < 0
+        assert abs(r.score - score) <= 1e-6 * abs(score)
 
 
 ALPHABET = [*"ab aaa  ▁\n\tthe’éÉß中文🙂 0²!?\r\x00ﬁ.'", "in", "tion", " the", "</s>", "▁▁", "    ", "<0x0A>", "<|endoftext|>", "'s", "'LL"]

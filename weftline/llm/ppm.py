@@ -1,18 +1,19 @@
 """Language-model scores by prediction by partial matching over bytes.
 
 The trie of byte contexts up to five symbols is counted over all training
-texts. A context predicts the symbols that it has seen by their counts, and
-keeps an escape in proportion to the number of distinct symbols (method C); an
-escape goes to the next shorter context, whose counts then leave out the
-symbols that the longer one has seen (exclusion). Below the empty context all
-257 symbols (bytes and the end of the text) are alike. The trained trie is
-held as one row of log probabilities per context, so a text is scored by
-looking up its contexts in numpy.
-
-The broadcast trie holds all contexts of one and two symbols, and of three
-symbols and more the most frequent, ``capacity`` at most of each length, so it
-is bounded, whatever the input. Symbols whose five-symbol context it does not
-hold are counted for each text, and meet the counts of all contexts in joins.
+texts; it is a table of grams (a context and its next symbol), and a shorter
+context is the sum of the longer ones that end with it. A context predicts the
+symbols that it has seen by their counts, and keeps an escape in proportion to
+the number of distinct symbols (method C); an escape goes to the next shorter
+context, whose counts then leave out the symbols that the longer one has seen
+(exclusion). Below the empty context all 257 symbols (bytes and the end of the
+text) are alike.
+
+Every context counts, however many there are. The probabilities of the most
+frequent grams, HEAD_GRAMS at most, are a table in the shared folder that each
+worker holds; by it a text is scored in numpy. The grams of a text that it does
+not hold are counted for each text and meet the others' probabilities in a join,
+and those that no training text has go down the contexts in joins.
 """
 
 from __future__ import annotations
@@ -22,20 +23,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.lineage import cut
+from weftline.lineage import cut, new_folder, tidied
 from weftline.llm.text import lowered_words, slices
 
 END = 256
 #: Symbols of the longest context.
 ORDER = 5
-#: Contexts of each length from three on, and words whose counts every task holds.
-CAPACITY, HEAD_WORDS = 49_152, 65_536
-#: Distinct words a training task holds before it hands on counts; bytes of texts counted at once.
-WORDS_HELD, BYTES_HELD = 250_000, 4 << 20
+#: Grams whose probabilities, and words whose counts, every worker holds.
+HEAD_GRAMS, HEAD_WORDS = 1 << 22, 65_536
+#: Distinct words, and distinct grams, that a training task holds before it hands on counts; bytes of texts counted at once.
+WORDS_HELD, GRAMS_HELD, BYTES_HELD = 250_000, 2_000_000, 4 << 20
 
 
 def symbols(text: str | None) -> np.ndarray:
@@ -55,8 +58,12 @@ def grams(s: np.ndarray) -> np.ndarray:
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+    """The sums of several (keys, counts), by ascending key."""
+    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(n, first)
 
 
 def count_corpus(texts: DataFrame) -> DataFrame:
@@ -81,8 +88,7 @@ def count_corpus(texts: DataFrame) -> DataFrame:
         def counted() -> None:
             nonlocal size
             if held:
-                keys, n = np.unique(np.concatenate(held), return_counts=True)
-                merged.append((keys, n))
+                merged.append(np.unique(np.concatenate(held), return_counts=True))
                 held.clear()
                 size = 0
             if len(merged) > 4:
@@ -96,6 +102,9 @@ def count_corpus(texts: DataFrame) -> DataFrame:
                 size += len(g)
                 if size >= BYTES_HELD:
                     counted()
+                    if sum(len(k) for k, _ in merged) > GRAMS_HELD:
+                        yield from out(1, *_merged(merged))
+                        merged.clear()
             if len(words) > WORDS_HELD:
                 yield from hashed()
         yield from hashed()
@@ -106,149 +115,98 @@ def count_corpus(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-class Trie:
-    """Log10 probabilities of the next symbol for each context held."""
-
-    def __init__(self, low: tuple[np.ndarray, np.ndarray], deep: list[tuple[np.ndarray, np.ndarray]]):
-        """low: counts of all three-symbol grams; deep: counts of the grams of the contexts held, of three symbols, of four and so on. Keys ascend."""
-        self.whole = True  # no context of the corpus is left out
-        keys, n = low
-        seen = np.unique(np.concatenate((keys & 511, (keys >> 9) & 511, (keys >> 18) & 511, np.array([END]))))
-        size = self.size = len(seen) + 1  # one more for every symbol never seen
-        code = np.full(512, size - 1, np.int64)
-        code[seen] = np.arange(len(seen))
-        self.code = code[: END + 1].astype(np.int32)
-        unseen = END + 1 - len(np.unique(keys & 511))
-        contexts = [np.zeros(1, np.int64), np.unique((keys >> 9) & 511), np.unique(keys >> 9)]
-        of = [np.zeros(len(keys), np.int64), (keys >> 9) & 511, keys >> 9]
-        counted = [(np.searchsorted(c, x), code[keys & 511], n) for c, x in zip(contexts, of, strict=True)]
-        for order, (keys, n) in enumerate(deep, 3):
-            held, short = keys >> 9, (1 << 9 * (order - 1)) - 1
-            # a context is found by way of the one that it begins with, and falls back to the one that it ends with
-            ok = np.isin(held & short, contexts[-1]) & np.isin(held >> 9, contexts[-1])
-            keys, n, held = keys[ok], n[ok], held[ok]
-            contexts.append(np.unique(held))
-            counted.append((np.searchsorted(contexts[-1], held), code[keys & 511], n))
-        self.offset = np.cumsum([0, *map(len, contexts)])
-        self.rows = np.empty((self.offset[-1], size), np.float32)
-        below = np.full((1, size), 1 / max(unseen, 1))  # below the empty context, all symbols that it has not seen are alike
-        counts = None
-        for order, (own_contexts, (at, symbol, n)) in enumerate(zip(contexts, counted, strict=True)):
-            shorter, counts = counts, np.zeros((len(own_contexts), size), np.float32)
-            np.add.at(counts, (at, symbol), n)
-            suffix = np.searchsorted(contexts[order - 1], own_contexts & ((1 << 9 * (order - 1)) - 1)) if order else None
-            further = np.empty((len(own_contexts), size), np.float32)
-            for first in range(0, len(own_contexts), 4096):
-                own = counts[first : first + 4096].astype(np.float64)
-                b = below
-                if order:
-                    up = suffix[first : first + 4096]
-                    near = shorter[up].astype(np.float64)
-                    rest = np.where(own > 0, 0, near)
-                    total, kinds = rest.sum(axis=1, keepdims=True), (rest > 0).sum(axis=1, keepdims=True)
-                    escape = np.where(kinds > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-                    b = np.where(near > 0, rest / np.maximum(total + kinds, 1), escape * below[up])
-                further[first : first + 4096] = b
-                total, kinds = own.sum(axis=1, keepdims=True), (own > 0).sum(axis=1, keepdims=True)
-                escape = np.where(kinds > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-                p = np.where(own > 0, own / np.maximum(total + kinds, 1), escape * b)
-                at_row = self.offset[order] + first
-                with np.errstate(divide="ignore"):  # no symbol is unseen
-                    self.rows[at_row : at_row + len(own)] = np.log10(p)
-            below = further
-        one, two, three = contexts[1], contexts[2], contexts[3]
-        row = np.zeros(size, np.int32)
-        row[code[one]] = self.offset[1] + np.arange(len(one))
-        row = np.broadcast_to(row, (size, size)).copy()
-        row[code[two >> 9], code[two & 511]] = self.offset[2] + np.arange(len(two))
-        row = np.broadcast_to(row, (size, size, size)).copy()
-        row[code[three >> 18], code[(three >> 9) & 511], code[three & 511]] = self.offset[3] + np.arange(len(three))
-        self.node = row.reshape(-1)
-        self.children = []
-        for order in range(4, len(contexts)):
-            c, parents = contexts[order], contexts[order - 1]
-            child = np.full((len(parents) + 1, size), -1, np.int32)
-            child[np.searchsorted(parents, c >> 9), code[c & 511]] = np.arange(len(c))
-            self.children.append(child)
-
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        """The log10 probability of each whole text, its end included, by the contexts held."""
-        return self.parts(texts, True)[0]
-
-    def parts(self, texts: list[str | None], whole: bool) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The log10 probability of each text, and, if not whole, apart from that, the grams whose context is not held."""
-        out, rest = np.zeros(len(texts)), []
-        for k, t in enumerate(texts):
-            raw = symbols(t)
-            s = self.code[raw]
-            own = []
-            for at in range(0, len(s) - ORDER, 1 << 20):
-                x = s[at : at + (1 << 20) + ORDER]
-                node = self.node[(x[:-3] * self.size + x[1:-2]) * self.size + x[2:-1]]  # of the three symbols before x[3:]
-                held = node - self.offset[3]
-                for order, child in enumerate(self.children, 4):
-                    held = child[held[:-1], x[order - 1 : -1]] if order > 4 else child[np.where(held[:-1] >= 0, held[:-1], -1), x[3:-1]]
-                    node = np.where(held >= 0, held + self.offset[order], node[1:])
-                p = self.rows[node, x[ORDER:]]
-                if not whole:
-                    short = held < 0
-                    own.append(grams(raw[at : at + (1 << 20) + ORDER])[short])
-                    p = p[~short]
-                out[k] += p.sum(dtype=np.float64)
-            rest.append(np.concatenate(own) if own else np.zeros(0, np.int64))
-        return out, rest
-
-
-def train(counts: DataFrame, capacity: int = CAPACITY) -> Trie:
-    """The trie of the corpus counts. What comes to the driver is bounded by the capacity and by the alphabet, not by the corpus."""
-
-    def sent(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        found = table.toArrow()
-        g, n = (found.column(i).to_numpy().astype(np.int64) for i in range(2))
-        order = np.argsort(g, kind="stable")
-        return g[order], n[order]
-
-    deep, whole = [], True
-    table = counts.where("kind = 1").select(F.col("key").alias("g"), "n")
-    for order in range(ORDER, 2, -1):
-        if order < ORDER:
-            table = cut(table.groupBy(F.col("g").bitwiseAND(F.lit((1 << 9 * (order + 1)) - 1)).alias("g")).agg(F.sum("n").alias("n")))
-        context = F.shiftright("g", 9)
-        top = table.groupBy(context.alias("c")).agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "c").limit(capacity).select("c")
-        deep.append(sent(table.join(F.broadcast(top), context == F.col("c")).select("g", "n")))
-        whole = whole and len(np.unique(deep[-1][0] >> 9)) < capacity
-    low = sent(table.groupBy(F.col("g").bitwiseAND(F.lit((1 << 27) - 1)).alias("g")).agg(F.sum("n").alias("n")))
-    trie = Trie(low, deep[::-1])
-    trie.whole = whole
-    return trie
-
-
-def gram_logs(counts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(g, log): the log10 probability of each wanted gram's last symbol after its context, by the counts of all contexts.
-
-    wanted: (g), distinct. A gram goes down from the longest context until one
-    has seen its symbol. What a longer context has seen, its suffix has seen
-    too, so exclusion takes the suffix's counts of those symbols (``above``)
-    and their number from its totals.
+class Head:
+    """Log10 probabilities by gram, found by a hash."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        self.bits = max(1, len(keys).bit_length())
+        place = self._place(keys)
+        order = np.argsort(place, kind="stable")
+        self.keys, self.logs = keys[order], logs[order]
+        self.start = np.searchsorted(place[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.longest = int(np.diff(self.start).max(initial=0))
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        x = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    @classmethod
+    def read(cls, folder: str) -> Head:
+        where, path = fs.FileSystem.from_uri(folder)
+        names = [f.path for f in where.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
+        tables = [pq.read_table(n, filesystem=where) for n in names]
+        keys, logs = (np.concatenate([t.column(c).to_numpy() for t in tables] or [np.zeros(0)]) for c in ("g", "log"))
+        return cls(keys.astype(np.int64), logs.astype(np.float32))
+
+    def parts(self, g: np.ndarray) -> tuple[float, np.ndarray]:
+        """The sum of the logs of the grams held, and the other grams."""
+        if not len(self.keys):
+            return 0.0, g
+        place = self._place(g)
+        at, end = self.start[place], self.start[place + 1]
+        left, total = np.flatnonzero(at < end), 0.0
+        missed = [np.flatnonzero(at >= end)]
+        for step in range(self.longest):
+            here = at[left] + step
+            hit = self.keys[here] == g[left]
+            total += self.logs[here[hit]].sum(dtype=np.float64)
+            left, here = left[~hit], here[~hit]
+            more = here + 1 < end[left]
+            missed.append(left[~more])
+            left = left[more]
+            if not len(left):
+                break
+        return total, g[np.concatenate(missed)]
+
+
+_HEADS: dict[str, Head] = {}
+
+
+def _head(folder: str) -> Head:
+    """The head of this worker; one is held at a time."""
+    if folder not in _HEADS:
+        _HEADS.clear()
+        _HEADS[folder] = Head.read(folder)
+    return _HEADS[folder]
+
+
+def _suffix(g: str, order: int) -> F.Column:
+    """The last ``order`` symbols of a gram's context, with its symbol."""
+    return F.col(g).bitwiseAND(F.lit((1 << 9 * (order + 1)) - 1))
+
+
+def gram_logs(counts: DataFrame) -> DataFrame:
+    """(g, n, log) of every gram counted: its own context has seen the symbol, so that one tells its probability."""
+    seen = counts.where("kind = 1").select(F.col("key").alias("g"), "n")
+    contexts = seen.groupBy(F.shiftright("g", 9).alias("c")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    return seen.join(contexts, F.shiftright("g", 9) == F.col("c")).select("g", "n", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("log"))
+
+
+def escaped_logs(grams_counted: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(g, log) of each wanted gram that no training text has: from the longest context down until one has seen the symbol.
+
+    wanted: (g), distinct. What a longer context has seen, its suffix has seen too,
+    so exclusion takes the suffix's counts of those symbols (``above``) and their
+    number (``known``) from its totals. Only the contexts of wanted grams are added up.
     """
-    suffix = lambda g, order: F.col(g).bitwiseAND(F.lit((1 << 9 * (order + 1)) - 1))
-    tables = {ORDER: cut(counts.where("kind = 1").select(F.col("key").alias("g"), "n"))}
+    tables = {ORDER: grams_counted.select("g", "n")}
     for order in range(ORDER - 1, -1, -1):
-        tables[order] = cut(tables[order + 1].groupBy(suffix("g", order).alias("g")).agg(F.sum("n").alias("n")))
+        tables[order] = cut(tables[order + 1].groupBy(_suffix("g", order).alias("g")).agg(F.sum("n").alias("n")))
     state = wanted.select("g", F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("above"), F.lit(0).cast("long").alias("known"))
     done = None
     for order in range(ORDER, -1, -1):
-        seen = tables[order]
+        asked = state.select(F.shiftright(_suffix("g", order), 9).alias("c")).distinct()
+        seen = tables[order].join(asked, F.shiftright("g", 9) == F.col("c"), "left_semi")
         if order:
             shorter = tables[order - 1].select(F.col("g").alias("h"), F.col("n").alias("m"))
-            seen = seen.join(shorter, suffix("g", order - 1) == F.col("h")).select("g", "n", "m")
+            seen = seen.join(shorter, _suffix("g", order - 1) == F.col("h")).select("g", "n", "m")
         else:
             seen = seen.withColumn("m", F.lit(0).cast("long"))
         contexts = seen.groupBy(F.shiftright("g", 9).alias("c")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("m").alias("next"))
         own = tables[order].select(F.col("g").alias("h"), "n")
-        # a few symbols make frequent keys, but few
+        # contexts of two symbols and fewer, and grams of one: bounded by the alphabet, and frequent keys
         contexts, own = F.broadcast(contexts) if order <= 2 else contexts, F.broadcast(own) if order <= 1 else own
-        here = state.join(contexts, F.shiftright(suffix("g", order), 9) == F.col("c"), "left").join(own, suffix("g", order) == F.col("h"), "left")
+        here = state.join(contexts, F.shiftright(_suffix("g", order), 9) == F.col("c"), "left").join(own, _suffix("g", order) == F.col("h"), "left")
         kinds = F.col("kinds") - F.col("known")
         all_ = F.col("total") - F.col("above") + kinds
         here = cut(
@@ -266,7 +224,16 @@ def gram_logs(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     return done.unionByName(state.select("g", (F.col("log") - F.log10(F.greatest(END + 1 - F.col("known"), F.lit(1)))).alias("log")))
 
 
-def ppm_scores(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, capacity: int = CAPACITY, head_words: int = HEAD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def head_grams(logs: DataFrame, most: int) -> DataFrame:
+    """(g, log) of the most frequent grams: all that occur so often that there are ``most`` of them or fewer."""
+    steps = [1, 2, 3, 4, 6, *(k << s for s in range(3, 40) for k in (1, 2) if s % 2)]
+    sizes = logs.agg(*(F.count_if(F.col("n") >= s).alias(f"s{s}") for s in steps)).first()
+    least = next((s for s in steps if sizes[f"s{s}"] <= most), None)
+    return logs.where(F.col("n") >= least if least else F.lit(False)).select("g", "log")
+
+
+@tidied
+def ppm_scores(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, head: int = HEAD_GRAMS, head_words: int = HEAD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row.
 
     Learns from the rows whose crc32 of the id as text, modulo ``folds``, is not
@@ -279,8 +246,8 @@ def ppm_scores(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, capacity
 
     Words are told apart by their 64-bit hash. Counts of the most frequent words
     go to all tasks, those of the others meet the texts in a join, in which
-    no word is frequent. Contexts that the broadcast trie does not hold are
-    treated likewise.
+    no word is frequent. ``head`` says how many grams a worker holds, and changes
+    no score.
     """
     spark = docs.sparkSession
     text, doc = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
@@ -290,26 +257,37 @@ def ppm_scores(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, capacity
     total = word_total + n_train
     size = distinct + (n_train > 0)
     base = total + 0.5 * (size + 1)
-    trie = train(counts, capacity)
-    head = counts.where("kind = 0").select("key", "n").orderBy(F.desc("n"), "key").limit(head_words).toArrow()
-    keys = head.column(0).to_numpy().astype(np.int64).view(np.uint64)
+    logs = cut(gram_logs(counts))
+    folder = new_folder(spark)
+    head_grams(logs, head).write.parquet(folder)
+    frequent = counts.where("kind = 0").select("key", "n").orderBy(F.desc("n"), "key").limit(head_words).toArrow()
+    keys = frequent.column(0).to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((trie, keys[order], head.column(1).to_numpy().astype(np.int64)[order]))
+    shared = spark.sparkContext.broadcast((keys[order], frequent.column(1).to_numpy().astype(np.int64)[order]))
     end_log, end_known = float(np.log10((n_train + 0.5) / base)), int(n_train > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, keys, known = shared.value
-        logs = np.log10((known + 0.5) / base)
+        held = _head(folder)
+        keys, known = shared.value
+        word_logs = np.log10((known + 0.5) / base)
         for part in slices(batches):
             texts = part.column(3).to_pylist()
-            scores, rest = trie.parts(texts, trie.whole)
+            scores, rest = [], []
+            for t in texts:
+                s, score, own = symbols(t), 0.0, []
+                for at in range(0, len(s) - ORDER, 1 << 20):
+                    near, far = held.parts(grams(s[at : at + (1 << 20) + ORDER]))
+                    score += near
+                    own.append(far)
+                scores.append(score)
+                rest.append(np.unique(np.concatenate(own), return_counts=True))
             index: dict[bytes, int] = {}
             per = [[index.setdefault(w, len(index)) for w in lowered_words(t)] for t in texts]
             h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in index), np.uint64, len(index))
             at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
             hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-            log = np.where(hit, logs[at], 0.0) if len(keys) else np.zeros(len(h))
-            n, near, sums, tail_h, tail_n = [], [], [], [], []
+            log = np.where(hit, word_logs[at], 0.0) if len(keys) else np.zeros(len(h))
+            n, near, sums, tails = [], [], [], []
             for words in per:
                 w = np.asarray(words, np.int64)
                 in_head = hit[w]
@@ -317,14 +295,12 @@ def ppm_scores(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, capacity
                 near.append(int(in_head.sum()) + end_known)
                 sums.append(float(log[w].sum()) + end_log)
                 kinds, times = np.unique(w[~in_head], return_counts=True)
-                tail_h.append(h[kinds].view(np.int64))
-                tail_n.append(times.astype(np.int32))
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in tail_h]))).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x))) for x in (tail_h, tail_n)]
-            kinds = [np.unique(g, return_counts=True) for g in rest]
-            ends = np.concatenate(([0], np.cumsum([len(g) for g, _ in kinds]))).astype(np.int32)
-            lists += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x))) for x in ([g for g, _ in kinds], [m.astype(np.int32) for _, m in kinds])]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array(near, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), *lists], names=["row", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "score", "h", "times", "g", "g_times"])
+                tails.append((h[kinds].view(np.int64), times))
+            lists = []
+            for found in (tails, rest):
+                ends = pa.array(np.concatenate(([0], np.cumsum([len(k) for k, _ in found]))).astype(np.int32))
+                lists += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([k for k, _ in found]))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([m for _, m in found]).astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array(near, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores, pa.float64()), *lists], names=["row", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "score", "h", "times", "g", "g_times"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), doc.alias("doc_id"), held_out.alias("held_out"), text.alias("t"))
     rows = cut(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, score double, h array<long>, times array<int>, g array<long>, g_times array<int>"))
@@ -332,18 +308,22 @@ def ppm_scores(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, capacity
     met = tail.join(counts.where("kind = 0").select("key", "n"), "key", "left")
     n = F.coalesce("n", F.lit(0))
     sums = met.groupBy("row").agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.log10((n + 0.5) / F.lit(base)) * F.col("times")).alias("rest"))
-    out = rows.drop("h", "times", "g", "g_times").join(sums, "row", "left")
-    if not trie.whole:
-        deep = rows.select("row", F.explode(F.arrays_zip("g", "g_times")).alias("x")).select("row", F.col("x.g").alias("g"), F.col("x.g_times").alias("times"))
-        logs = cut(gram_logs(counts, deep.select("g").distinct()))
-        out = out.join(deep.join(logs, "g").groupBy("row").agg(F.sum(F.col("log") * F.col("times")).alias("deep")), "row", "left")
-        out = out.withColumn("score", F.col("score") + F.coalesce("deep", F.lit(0.0)))
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("head_sum") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        "score",
+    deep = rows.select("row", F.explode(F.arrays_zip("g", "g_times")).alias("x")).select("row", F.col("x.g").alias("g"), F.col("x.g_times").alias("times"))
+    deep = cut(deep.join(logs.select("g", "log"), "g", "left"))
+    unseen = cut(escaped_logs(logs, deep.where("log is null").select("g").distinct()))
+    missing = deep.where("log is null").drop("log").join(unseen, "g")
+    deeper = deep.where("log is not null").unionByName(missing).groupBy("row").agg(F.sum(F.col("log") * F.col("times")).alias("deep"))
+    return (
+        rows.drop("h", "times", "g", "g_times")
+        .join(sums, "row", "left")
+        .join(deeper, "row", "left")
+        .select(
+            "doc_id",
+            "held_out",
+            "n_tokens",
+            (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+            F.lit(total).cast("long").alias("train_tokens"),
+            (F.col("head_sum") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
+            (F.col("score") + F.coalesce("deep", F.lit(0.0))).alias("score"),
+        )
     )
