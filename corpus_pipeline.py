@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.lineage import new_folder, scope
+from weftline.lineage import cut, new_folder, scope
 from weftline.llm import mixing, packing, quality, simhash
 from weftline.llm.queries import vocabulary
 from weftline.tables import load
@@ -26,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more. Of repeated rows of an id all stay; rows with a null id stay."""
     groups = simhash.simhash_near_duplicates(docs, width=5, similarity=0.8)
-    lost = groups.where("component_id <> id").select(F.col("id").alias("pipeline_lost_id"))
+    lost = cut(groups.where("component_id <> id").select(F.col("id").alias("pipeline_lost_id")))
     return docs.join(lost, F.col("doc_id").cast("long") == F.col("pipeline_lost_id"), "left_anti")
 
 

@@ -10,10 +10,11 @@ block, and nothing is left out.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,70 @@ LEADERS = 64
 _LINK = "a long, b long"
 
 
+class Forest:
+    """Union of links between n things; keeps the links that joined two trees."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            ri, rj = self.parent[i], self.parent[j]
+            apart = ri != rj
+            i, j, ri, rj = i[apart], j[apart], ri[apart], rj[apart]
+            if not len(i):
+                return
+            hi, lo = np.maximum(ri, rj), np.minimum(ri, rj)
+            # one link for each root that is hung below a smaller one
+            order = np.lexsort((lo, hi))
+            first = order[np.concatenate(([True], hi[order][1:] != hi[order][:-1]))]
+            self.parent[hi[first]] = lo[first]
+            self.kept.append((i[first], j[first]))
+            while True:
+                up = self.parent[self.parent]
+                if np.array_equal(up, self.parent):
+                    break
+                self.parent = up
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.kept:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*self.kept, strict=True))
+
+    def stars(self, ids: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(smallest id of the tree, id) for all ids but the smallest themselves; of: the thing of each id, if not one for one."""
+        root = self.parent if of is None else self.parent[of]
+        least = np.full(len(self.parent), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, ids)
+        first = least[root]
+        other = first != ids
+        return first[other], ids[other]
+
+
+#: Links that one task thins out.
+TASK_LINKS = 1 << 20
+
+
+def thinned(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+    """(a, b), a < b: fewer links of the same components: of each task's share, a star for each of its components."""
+    links = cut(links.select("a", "b").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not held:
+            return
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        forest = Forest(len(ids))
+        forest.add(at[: len(a)], at[len(a) :])
+        a, b = forest.stars(ids)
+        for k in range(0, len(a), 65536):
+            yield pa.record_batch([pa.array(a[k : k + 65536]), pa.array(b[k : k + 65536])], names=["a", "b"])
+
+    return links.repartition(1 + links.count() // task_links).mapInArrow(run, _LINK)
+
+
 def _out(pairs: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
     a, b = pairs
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})

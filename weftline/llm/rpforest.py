@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from weftline.components import connected_components
 from weftline.lineage import cut
-from weftline.llm.trie import Forest
+from weftline.llm.groups import Forest
 
 #: Rows of a leaf that one task compares; a node beyond it is split.
 LEAF_ROWS = 1024

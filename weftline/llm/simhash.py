@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from weftline.components import connected_components
 from weftline.lineage import cut, tidied
-from weftline.llm.groups import links_in_groups
+from weftline.llm.groups import Forest, links_in_groups
 from weftline.llm.text import hashes, lowered_words, shingles, slices
-from weftline.llm.trie import TASK_CODES, Forest, near_links, prefix_links
+from weftline.llm.trie import TASK_CODES, near_links, prefix_links
 
 #: Exact bits of a code at least, and texts that agree in them by chance from which on more bits are taken.
 LEAST_EXACT, NODE_TEXTS = 12, 4096
@@ -260,7 +260,7 @@ def simhash_near_duplicates(docs: DataFrame, width: int = 5, similarity: float =
     coded = cut(rows.mapInArrow(codes, "id long, d binary, high array<long>, low long"))
     classes = cut(coded.groupBy("d").agg(F.min("id").alias("head"), F.first("high").alias("high"), F.first("low").alias("low")))
     spread = classes.select(F.col("head").alias("id"), "low", F.posexplode("high").alias("tree", "high")).select(F.col("tree").cast("long").alias("tree"), "high", "low", "id")
-    found = connected_components(prefix_links(spread, plan.exact, plan.allowed, plan.total, task_codes).distinct())
+    found = connected_components(prefix_links(spread, plan.exact, plan.allowed, plan.total, task_codes))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):

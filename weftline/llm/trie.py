@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.lineage import cut
-from weftline.llm.groups import links_in_groups
+from weftline.llm.groups import Forest, links_in_groups, thinned
 
 #: Mean codes below a node at the depth where tasks begin.
 NODE_CODES = 512
@@ -129,38 +129,6 @@ def close_codes(a: np.ndarray, b: np.ndarray, same: bool, depth: int, errors: in
             stack.append((d + 1, *joined))
 
 
-class Forest:
-    """Union of links between n things; keeps the links that joined two trees."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        while len(i):
-            ri, rj = self.parent[i], self.parent[j]
-            apart = ri != rj
-            i, j, ri, rj = i[apart], j[apart], ri[apart], rj[apart]
-            if not len(i):
-                return
-            hi, lo = np.maximum(ri, rj), np.minimum(ri, rj)
-            # one link for each root that is hung below a smaller one
-            order = np.lexsort((lo, hi))
-            first = order[np.concatenate(([True], hi[order][1:] != hi[order][:-1]))]
-            self.parent[hi[first]] = lo[first]
-            self.kept.append((i[first], j[first]))
-            while True:
-                up = self.parent[self.parent]
-                if np.array_equal(up, self.parent):
-                    break
-                self.parent = up
-
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.kept:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return tuple(np.concatenate(x) for x in zip(*self.kept, strict=True))
-
-
 def _join_nodes(frame: pd.DataFrame, depth: int, allowed: Sequence[int]) -> pd.DataFrame:
     """Spanning links of one pair of nodes."""
     lo, hi = (frame[k].to_numpy().view(np.uint64)[0] for k in ("lo", "hi"))
@@ -284,9 +252,7 @@ def prefix_links(codes: DataFrame, exact: int, allowed: Sequence[int], total: in
         forest = Forest(int(new.sum()))
         for i, j in close_codes(high[new], high[new], True, 0, 0, allowed, WIDE_LEAF, (low[new], low[new], total)):
             forest.add(i, j)
-        i, j = forest.links()
-        m = ids[new]
-        return np.concatenate((m[at[~new]], m[i])), np.concatenate((ids[~new], m[j]))
+        return forest.stars(ids, at)
 
     def across(x: pd.DataFrame, y: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         a, a_low, a_ids, a_rows = _sorted_codes(x)
@@ -303,4 +269,5 @@ def prefix_links(codes: DataFrame, exact: int, allowed: Sequence[int], total: in
             ids = [np.concatenate((ids[0], a_ids[i[first]])), np.concatenate((ids[1], b_ids[j[first]]))]
         return ids[0], ids[1]
 
-    return links_in_groups(rows, task_codes, within, across, ["high", "low"], "whole")
+    # a dense group has its stars in the nodes of every tree: only what joins something new is handed on
+    return thinned(links_in_groups(rows, task_codes, within, across, ["high", "low"], "whole"))
