@@ -1,14 +1,18 @@
 """Closed forms, ties, involutions and round trips."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftline.components import connected_components
 from weftline.functions.scalar import lfsr, msb_crc
+from weftline.lineage import new_folder
 from weftline.operators import collectives as C
 from weftline.operators import iterate as I
 from weftline.operators import mesh as M
 from weftline.operators import reduce as R
 from weftline.operators import select as S
+from weftline.operators import spatial as P
+from weftline.sources import ranges as B
 from weftline.sources import text_formats as X
 from weftline.streaming import streams as T
 
@@ -80,16 +84,72 @@ def test_stream_equals_its_batch_twin(spark, sf_dir):
 
 def test_text_formats(spark, tmp_path):
     (tmp_path / "a.node").write_text("2 2 0 1\n1 0.5 1.5 1\n2 2.25 3.0 0\n# end\n")
-    (tmp_path / "a.cnf").write_text("c x\np cnf 3 2\n1 -2 0\n2 3 0\n")
+    (tmp_path / "b.node").write_text("# whole numbers\n3 2 0 0\n1 0 0\n2 1 0\n3 0 1\n")
+    (tmp_path / "a.cnf").write_text("c x\np cnf 3 3\n1 -2 0\n2\n 3 0 -1\n-3 0\n")
     (tmp_path / "a.hcp").write_text("NAME : x\nEDGE_DATA_SECTION\n1 2\n2 3\n-1\n")
     (tmp_path / "a.tsp").write_text("NAME : x\nNODE_COORD_SECTION\n1 1.5 2.5\nEOF\n")
     (tmp_path / "a.bin").write_bytes(bytes(range(100)))
     assert sorted(map(tuple, X.read_mesh_nodes(spark, str(tmp_path / "a.node")).collect())) == [(1, 0.5, 1.5, 1), (2, 2.25, 3.0, 0)]
-    assert sorted(r.literals for r in X.read_clauses(spark, str(tmp_path / "a.cnf")).collect()) == [[1, -2], [2, 3]]
+    assert sorted(map(tuple, X.read_mesh_nodes(spark, str(tmp_path / "b.node")).collect())) == [(1, 0.0, 0.0, None), (2, 1.0, 0.0, None), (3, 0.0, 1.0, None)]
+    assert sorted((r.clause, r.literals) for r in X.read_clauses(spark, str(tmp_path / "a.cnf")).collect()) == [(0, [1, -2]), (1, [2, 3]), (2, [-1, -3])]
     assert X.read_edges(spark, str(tmp_path / "a.hcp")).count() == 2
     assert X.read_tour(spark, str(tmp_path / "a.tsp")).first().x == 1.5
-    parts = sorted((r.offset, bytes(r.data)) for r in X.read_ranges(spark, str(tmp_path / "a.bin"), 32).collect())
+    parts = sorted((r.offset, bytes(r.data)) for r in B.read_ranges(spark, str(tmp_path / "a.bin"), 32).collect())
     assert b"".join(d for _, d in parts) == bytes(range(100)) and len(parts) == 4
+    view = sorted((r.offset, bytes(r.data)) for r in B.read_view(spark, str(tmp_path / "a.bin"), 3, 2, 10).collect())
+    assert view == [(k, bytes(range(k, min(k + 2, 100)))) for k in range(3, 100, 10)]
+
+
+def test_written_ranges_are_read_back(spark):
+    data = bytes(k % 251 for k in range(5000))
+    rows = [(k, data[k : k + 70]) for k in range(0, 5000, 70)]
+    parts = B.write_session(spark.createDataFrame(rows, "offset long, data binary").repartition(5), new_folder(spark))
+    assert sum(r.length for r in parts.collect()) == 5000
+    whole = {r.offset: (r.length, r.path) for r in parts.collect()}
+    wanted = [(at + d, n) for at, (length, _) in whole.items() for d, n in ((0, 7), (length // 2, 9), (length - 5, 5))]
+    back = B.read_session(parts, spark.createDataFrame(wanted, "offset long, length long"))
+    assert sorted((r.offset, bytes(r.data)) for r in back.collect()) == sorted((at, data[at : at + n]) for at, n in wanted)
+
+
+def test_mesh_nodes_of_the_reference_format(spark, tmp_path):
+    # a head line with whole coordinates below it, in a file of several blocks
+    lines = ["400 2 0 0", *(f"{k} {k % 20} {k // 20}" for k in range(1, 401)), "# generated"]
+    (tmp_path / "m.node").write_text("\n".join(lines))
+    got = X.read_mesh_nodes(spark, str(tmp_path / "m.node"))
+    assert got.count() == 400 and got.agg(F.sum("x")).first()[0] == sum(k % 20 for k in range(1, 401))
+
+
+def test_points_within_units_of_the_last_place_are_one(spark):
+    x = 1.0
+    near, far = x + 150 * 2.0**-52, x + 400 * 2.0**-52
+    rows = [(0, 1, x, 2.0, 3.0), (1, 2, near, 2.0, 3.0), (2, 3, far, 2.0, 3.0), (1, 4, x, 2.5, 3.0)]
+    d = spark.createDataFrame(rows, "part long, id long, x double, y double, z double")
+    assert sorted(map(tuple, P.shared_points(d, "part", "id").collect())) == [(0, 1, 1, 2)]
+
+
+def test_ranks_over_the_whole_table(spark):
+    d = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(13)
+    assert all(r.k == r["rank"] for r in S.ordered_ranks(d, ["k"]).collect())
+    assert S.ordered_ranks(d.limit(0), ["k"]).count() == 0
+
+
+def test_refine_moves_only_off_overloaded_bins(spark):
+    rows = [(0, k, float(10 + k % 7), 0 if k < 30 else k % 4) for k in range(60)]
+    got = I.refine_packing(spark.createDataFrame(rows, "pe_group long, obj long, load double, old long"), 4).collect()
+    before, after = ([sum(r.load for r in got if getattr(r, c) == b) for b in range(4)] for c in ("old", "bin"))
+    mean = sum(before) / 4
+    assert max(after) <= 1.1 * mean < max(before)
+    assert {r.old for r in got if r.old != r.bin} <= {b for b in range(4) if before[b] > mean}
+
+
+def test_transform_of_slabs_equals_numpy(spark):
+    rng = np.random.default_rng(4)
+    full = rng.random((4, 4, 4)).round(3)
+    full[1] = 0  # an absent plane
+    rows = [(x, y, z, float(full[x, y, z])) for x in range(4) for y in range(4) for z in range(4) if full[x, y, z]]
+    got = I.fft_slabs(spark.createDataFrame(rows, "x long, y long, z long, v double"), 4)
+    want = np.fft.fftn(full)
+    assert got.count() == 64 and all(abs(complex(r.re, r.im) - want[r.x, r.y, r.z]) < 1e-9 for r in got.collect())
 
 
 def test_a_bend_is_a_corner_and_a_straight_or_touching_node_is_none(spark):

@@ -7,14 +7,16 @@ folder every few rounds. Nothing but a few numbers per round comes back.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.lineage import cut
+from weftline.operators.select import ordered_ranks
 from weftline.operators.spatial import nearest_center
 
 
@@ -194,8 +196,55 @@ def edge_cut(parts: DataFrame, comm: DataFrame) -> DataFrame:
 
 
 def planar_order(points: DataFrame, axis: str, id_col: str, parts: int) -> DataFrame:
-    """Parts of equal size along one axis."""
-    return points.withColumn("part", (F.ntile(parts).over(Window.orderBy(axis, id_col)) - 1).cast("long"))
+    """Parts of equal size along one axis: of n rows the first n % parts parts have one more."""
+    ranked = ordered_ranks(points, [axis, id_col], "_rank")
+    n = ranked.count()
+    size, longer = n // parts, n % parts
+    rank, edge = F.col("_rank"), longer * (size + 1)
+    return ranked.withColumn("part", F.when(rank < edge, F.floor(rank / (size + 1))).otherwise(longer + F.floor((rank - edge) / max(size, 1))).cast("long")).drop("_rank")
+
+
+def fft_lines(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """(id, k, re, im): the discrete Fourier transform of each row's array; no row leaves its task. Rows with null arrays or components have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = [np.fft.fft(np.asarray(v, np.float64)) for v in part.column(1).to_pylist()]
+                n = np.array([len(f) for f in found], np.int64)
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), n)))
+                flat = np.concatenate(found) if found else np.zeros(0, complex)
+                k = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.record_batch([ids, pa.array(k), pa.array(flat.real), pa.array(flat.imag)], names=[id_col, "k", "re", "im"])
+
+    whole = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+    return rows.where(whole).select(F.col(id_col).cast("long").alias(id_col), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, f"`{id_col}` long, k long, re double, im double")
+
+
+def fft_slabs(field: DataFrame, n: int) -> DataFrame:
+    """(x, y, z, re, im): the transform of a field (x, y, z, v) on n x n x n places, absent ones zero.
+
+    A slab is a plane of one x, transformed in two dimensions by one task. The
+    transpose is one shuffle by (y, z); a line of n numbers along x ends it.
+    """
+
+    def plane(frame: pd.DataFrame) -> pd.DataFrame:
+        full = np.zeros((n, n))
+        full[frame["y"].to_numpy(), frame["z"].to_numpy()] = frame["v"].to_numpy()
+        found = np.fft.fft2(full)
+        y, z = np.divmod(np.arange(n * n), n)
+        return pd.DataFrame({"x": frame["x"].iat[0], "y": y, "z": z, "re": found.real.ravel(), "im": found.imag.ravel()})
+
+    def line(frame: pd.DataFrame) -> pd.DataFrame:
+        full = np.zeros(n, complex)
+        full[frame["x"].to_numpy()] = frame["re"].to_numpy() + 1j * frame["im"].to_numpy()
+        found = np.fft.fft(full)
+        return pd.DataFrame({"x": np.arange(n), "y": frame["y"].iat[0], "z": frame["z"].iat[0], "re": found.real, "im": found.imag})
+
+    kinds = "x long, y long, z long, re double, im double"
+    rows = field.select(*(F.col(k).cast("long").alias(k) for k in "xyz"), F.col("v").cast("double").alias("v"))
+    return rows.groupBy("x").applyInPandas(plane, kinds).groupBy("y", "z").applyInPandas(line, kinds)
 
 
 def fit_line(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:

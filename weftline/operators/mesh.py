@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.lineage import cut
+
 
 def connectivity(elements: DataFrame, elem: str = "elem", conn: str = "conn") -> DataFrame:
     """(elem, node) of elements with arrays of nodes."""
@@ -111,11 +113,11 @@ def refine_tree(points: DataFrame, levels: int, most: int) -> DataFrame:
     for level in range(levels + 1):
         side = 1 << level
         cell = rows.select("px", "py", F.least(F.floor(F.col("px") * side), F.lit(side - 1)).cast("long").alias("x"), F.least(F.floor(F.col("py") * side), F.lit(side - 1)).cast("long").alias("y"))
-        sizes = cell.groupBy("x", "y").agg(F.count("*").alias("n"))
+        sizes = cut(cell.groupBy("x", "y").agg(F.count("*").alias("n")))
         done = (sizes if level == levels else sizes.where(F.col("n") <= most)).select(F.lit(level).cast("long").alias("level"), "x", "y", "n")
         leaves = done if leaves is None else leaves.unionByName(done)
         if level < levels:
-            rows = cell.join(sizes.where(F.col("n") > most).select("x", "y"), ["x", "y"], "left_semi").select("px", "py")
+            rows = cut(cell.join(sizes.where(F.col("n") > most).select("x", "y"), ["x", "y"], "left_semi").select("px", "py"))
     return leaves
 
 

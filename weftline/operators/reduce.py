@@ -109,7 +109,7 @@ def custom_reduce(df: DataFrame, by: Sequence[str], column: str, function: Calla
     With ``merge`` (a streamable reducer), a group is reduced in parts and the
     parts' results are merged, so a hot group never meets in one task.
     """
-    reducer = F.pandas_udf(function, kind, "grouped_agg") if False else _grouped(function, kind)
+    reducer = _grouped(function, kind)
     if merge is None:
         return df.groupBy(*by).agg(reducer(F.col(column)).alias(out))
     part = F.pmod(F.monotonically_increasing_id(), F.lit(parts)).alias("part")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.lineage import cut
+
 
 def index_space(spark: SparkSession, ranges: Sequence[tuple[int, int, int]]) -> DataFrame:
     """All indices (i0, i1, ...) of (start, end, step) per dimension: one range, split by arithmetic, so no join."""
@@ -54,11 +56,29 @@ def compact_sequence(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return rows.withColumn("_run", run).groupBy(*by, "_run").agg(F.min(value).alias("start"), F.max(value).alias("last"), F.count("*").alias("n")).drop("_run")
 
 
+def ordered_ranks(df: DataFrame, by: Sequence[str], out: str = "rank") -> DataFrame:
+    """The rows with their place from 0 in the order of ``by``, over the whole table.
+
+    Rows go to ranges; a range knows its size, and the sizes of the few ranges
+    before it are summed up. No task sees more than a range. Rows alike in ``by``
+    get places in no set order.
+    """
+    names = df.columns
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    # the high bits of the id are the partition, the low ones the place in it
+    rows = cut(rows.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    first = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("_first"))
+    ranked = rows.withColumn("_part", part).join(first, "_part")
+    return ranked.select(*names, (F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias(out))
+
+
 def ordered_union(a: DataFrame, b: DataFrame, key: str, seq: str) -> DataFrame:
     """Members of a in its order, then those only in b in its order, as (key, turn) from 0."""
     both = a.select(key, F.lit(0).alias("_side"), seq).unionByName(b.select(key, F.lit(1).alias("_side"), seq))
     first = both.groupBy(key).agg(F.min(F.struct("_side", seq)).alias("z"))
-    return first.select(key, (F.row_number().over(Window.orderBy("z._side", f"z.{seq}")) - 1).cast("long").alias("turn"))
+    return ordered_ranks(first.select(key, F.col("z._side").alias("_side"), F.col(f"z.{seq}").alias("_seq")), ["_side", "_seq"], "turn").select(key, "turn")
 
 
 def hilbert_index(x: Column, y: Column, order: int) -> Column:

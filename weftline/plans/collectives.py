@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import collectives as C
 from weftline.operators import reduce as R
+from weftline.operators import select as S
 from weftline.tables import load
 
 
@@ -93,7 +94,7 @@ def _edges(spark, sf_dir):
     line, orders = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "orders")
     s, c = load(spark, sf_dir, "supplier"), load(spark, sf_dir, "customer")
     d = line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).join(s, line["l_suppkey"] == s["s_suppkey"]).join(c, orders["o_custkey"] == c["c_custkey"])
-    return d.where("l_quantity > 48").select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).distinct()
+    return d.select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).distinct()
 
 
 def neighbor_allgather(spark, sf_dir):
@@ -115,15 +116,15 @@ def comm_split(spark, sf_dir):
 
 def comm_create(spark, sf_dir):
     """A communicator of the members of a group; ranks follow the group's order."""
-    members = load(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey", F.lit(0).alias("c"))
-    return C.split(members, "c", ["s_suppkey"]).select("s_suppkey", "new_rank")
+    members = load(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey")
+    return S.ordered_ranks(members, ["s_suppkey"], "new_rank")
 
 
 def intercomm(spark, sf_dir):
     """An inter-communicator: each side gets the other side's sum."""
     s = load(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.round(F.sum("s_acctbal"), 2).alias("from_suppliers"))
     c = load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(F.sum("c_acctbal"), 2).alias("from_customers"))
-    return s.join(c, s["s_nationkey"] == c["c_nationkey"]).select(F.col("s_nationkey").alias("nation"), "from_suppliers", "from_customers")
+    return s.join(c, s["s_nationkey"] == c["c_nationkey"], "full").select(F.coalesce("s_nationkey", "c_nationkey").alias("nation"), "from_suppliers", "from_customers")
 
 
 def group_sets(spark, sf_dir):
@@ -185,7 +186,7 @@ def pack_unpack(spark, sf_dir):
     return d.select(F.from_json(F.col("b").cast("string"), "s_suppkey long, s_name string").alias("z")).select("z.s_suppkey", "z.s_name")
 
 
-_E = "SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 48"
+_E = "SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey"
 SPECS = {
     "bcast": (bcast, "SELECT l.l_orderkey, l.l_linenumber, r.l_partkey AS root_part FROM lineitem l LEFT JOIN lineitem r ON l.l_orderkey = r.l_orderkey AND r.l_linenumber = 1"),
     "scatter": (scatter, "SELECT p_partkey // 16 AS rank, p_partkey % 16 AS place, p_partkey FROM part"),
@@ -206,7 +207,7 @@ SPECS = {
     "graph_degrees": (graph_degrees, f"WITH e AS ({_E}), o AS (SELECT src AS rank, count(*) AS n FROM e GROUP BY 1), i AS (SELECT dst AS rank, count(*) AS n FROM e GROUP BY 1) SELECT rank, coalesce(o.n, 0)::BIGINT AS outdegree, coalesce(i.n, 0)::BIGINT AS indegree FROM o FULL JOIN i USING (rank)"),
     "comm_split": (comm_split, "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) - 1 AS new_rank FROM orders"),
     "comm_create": (comm_create, "SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS new_rank FROM supplier WHERE s_acctbal > 0"),
-    "intercomm": (intercomm, "SELECT s_nationkey AS nation, from_suppliers, from_customers FROM (SELECT s_nationkey, round(sum(s_acctbal), 2) AS from_suppliers FROM supplier GROUP BY 1) JOIN (SELECT c_nationkey, round(sum(c_acctbal), 2) AS from_customers FROM customer GROUP BY 1) ON s_nationkey = c_nationkey"),
+    "intercomm": (intercomm, "SELECT coalesce(s_nationkey, c_nationkey) AS nation, from_suppliers, from_customers FROM (SELECT s_nationkey, round(sum(s_acctbal), 2) AS from_suppliers FROM supplier GROUP BY 1) FULL JOIN (SELECT c_nationkey, round(sum(c_acctbal), 2) AS from_customers FROM customer GROUP BY 1) ON s_nationkey = c_nationkey"),
     "group_sets": (group_sets, "SELECT 'union' AS op, p_partkey FROM part WHERE p_size <= 30 OR p_size >= 20 UNION ALL SELECT 'intersection', p_partkey FROM part WHERE p_size BETWEEN 20 AND 30 UNION ALL SELECT 'difference', p_partkey FROM part WHERE p_size < 20"),
     "cart_topology": (cart_topology, "SELECT r AS rank, r // 6 AS c0, r // 2 % 3 AS c1, r % 2 AS c2, (r // 6 + 1) % 4 * 6 + r % 6 AS next0, CASE WHEN r // 2 % 3 > 0 THEN r - 2 END AS prev1 FROM (SELECT unnest(range(24)) AS r)"),
     "match_messages": (match_messages, "WITH e AS (SELECT event_id, user_id % 50 AS tag, event_type, row_number() OVER (PARTITION BY user_id % 50, event_type ORDER BY event_id) AS t FROM events) SELECT s.tag, s.event_id AS send_id, r.event_id AS recv_id FROM e s JOIN e r ON s.tag = r.tag AND s.t = r.t AND s.event_type = 'click' AND r.event_type = 'view'"),

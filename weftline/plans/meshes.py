@@ -9,7 +9,7 @@ from weftline.tables import load
 
 
 def _conn(spark, sf_dir):
-    return load(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 1").select(F.col("l_orderkey").alias("elem"), F.col("l_partkey").alias("node")).distinct()
+    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("elem"), F.col("l_partkey").alias("node")).distinct()
 
 
 def _parts(spark, sf_dir):
@@ -25,8 +25,10 @@ def node_nodes(spark, sf_dir):
 
 
 def element_elements(spark, sf_dir):
-    faces = _conn(spark, sf_dir).select("elem", F.floor(F.col("node") / 4).alias("f")).distinct()
-    return M.element_elements(faces, ["f"])
+    """Elements that share an edge, which is a face of two nodes."""
+    a, b = _conn(spark, sf_dir).alias("a"), _conn(spark, sf_dir).alias("b")
+    faces = a.join(b, (F.col("a.elem") == F.col("b.elem")) & (F.col("a.node") < F.col("b.node"))).select(F.col("a.elem").alias("elem"), F.col("a.node").alias("n1"), F.col("b.node").alias("n2"))
+    return M.element_elements(faces, ["n1", "n2"])
 
 
 def mesh_partition(spark, sf_dir):
@@ -156,7 +158,7 @@ def topology_model(spark, sf_dir):
     return M.node_elements(_conn(spark, sf_dir)).join(nodes, "node").select("node", "n_elems", F.col("p_size").alias("attribute"), F.element_at("elems", 1).alias("first_elem"))
 
 
-_C = "c AS (SELECT DISTINCT l_orderkey AS elem, l_partkey AS node FROM lineitem WHERE l_orderkey % 4 = 1)"
+_C = "c AS (SELECT DISTINCT l_orderkey AS elem, l_partkey AS node FROM lineitem)"
 _P = f"{_C}, p AS (SELECT DISTINCT elem % 5 AS part, node FROM c)"
 _T = "t AS (SELECT unnest([a, a + 1, a + 14, a, a + 14, a + 13]) AS n1, unnest([a + 1, a + 14, a, a + 14, a + 13, a]) AS n2 FROM (SELECT k // 12 * 13 + k % 12 AS a FROM (SELECT unnest(range(144)) AS k)))"
 _G = "g AS (SELECT k % 24 AS i, k // 24 AS j, (k % 24 * 7 + k // 24 * 3) % 11 AS v FROM (SELECT unnest(range(576)) AS k))"
@@ -167,7 +169,7 @@ for _k in range(5):
 SPECS = {
     "node_elements": (node_elements, f"WITH {_C} SELECT node, count(*) AS n_elems, string_agg(elem::VARCHAR, ',' ORDER BY elem) AS elems FROM c GROUP BY 1"),
     "node_nodes": (node_nodes, f"WITH {_C} SELECT DISTINCT a.node AS a, b.node AS b FROM c a JOIN c b ON a.elem = b.elem AND a.node <> b.node"),
-    "element_elements": (element_elements, f"WITH {_C}, f AS (SELECT DISTINCT elem, node // 4 AS f FROM c) SELECT DISTINCT a.elem AS a, b.elem AS b FROM f a JOIN f b ON a.f = b.f AND a.elem < b.elem"),
+    "element_elements": (element_elements, f"WITH {_C}, f AS (SELECT p.elem, p.node AS n1, q.node AS n2 FROM c p JOIN c q ON p.elem = q.elem AND p.node < q.node) SELECT DISTINCT a.elem AS a, b.elem AS b FROM f a JOIN f b ON a.n1 = b.n1 AND a.n2 = b.n2 AND a.elem < b.elem"),
     "mesh_partition": (mesh_partition, "WITH d AS (SELECT p_partkey, p_size, (p_retailprice > (SELECT quantile_cont(p_retailprice, 0.5) FROM part))::BIGINT AS px FROM part), m AS (SELECT px, quantile_cont(p_size::DOUBLE, 0.5) AS my FROM d GROUP BY 1) SELECT px * 2 + (p_size > my)::BIGINT AS part, count(*) AS n, sum(p_partkey)::BIGINT AS keys FROM d JOIN m USING (px) GROUP BY 1"),
     "mesh_assemble": (mesh_assemble, f"WITH {_P} SELECT node, count(*) AS copies FROM p GROUP BY 1"),
     "global_numbers": (global_numbers, f"WITH {_P}, o AS (SELECT node, min(part) AS owner FROM p GROUP BY 1), n AS (SELECT node, owner, row_number() OVER (ORDER BY owner, node) - 1 AS number FROM o) SELECT part, node, owner, number FROM p JOIN n USING (node)"),

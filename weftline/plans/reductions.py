@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from weftline.operators import reduce as R
+from weftline.operators import select as S
 from weftline.tables import load
 
 
@@ -44,7 +45,10 @@ def reduce_bitvec(spark, sf_dir):
 
 
 def reduce_random(spark, sf_dir):
-    return R.reduce_by(_line(spark, sf_dir), ["l_returnflag"], some_key=("random", "l_orderkey"))
+    """Any member of a group: whichever it is, the group has it."""
+    some = R.reduce_by(_line(spark, sf_dir), ["l_returnflag"], some_key=("random", "l_orderkey"))
+    own = _line(spark, sf_dir).select("l_returnflag", F.col("l_orderkey").alias("some_key")).distinct().withColumn("found", F.lit(True))
+    return some.join(own, ["l_returnflag", "some_key"], "left").select("l_returnflag", F.coalesce("found", F.lit(False)).alias("is_member"))
 
 
 def reduce_nop(spark, sf_dir):
@@ -167,6 +171,46 @@ def segment_sum(spark, sf_dir):
     return R.segment_reduce(d, ["sx", "sy", "ex", "ey"], "vals", "sum")
 
 
+def _typed(op, column, kind):
+    """A reduction of a column as one of the types of the sparse reducers."""
+    return R.REDUCERS[op](F.col(column).cast(kind)).cast("double")
+
+
+def sparse_typed(spark, sf_dir):
+    """All operations over all types of values, of two indices."""
+    d = _line(spark, sf_dir).select(F.pmod("l_orderkey", F.lit(512)).alias("x"), F.pmod("l_partkey", F.lit(64)).alias("y"), F.col("l_linenumber").alias("i"), (1 + F.col("l_linenumber") % 3 / 2).alias("d"))
+    outs = [_typed(op, c, kind).alias(f"{op}_{kind}") for op in ("sum", "product", "max", "min") for c, kind in (("i", "int"), ("d", "float"), ("d", "double"))]
+    return d.groupBy("x", "y").agg(*outs)
+
+
+def sparse_sorted(spark, sf_dir):
+    """What the client of a sparse reduction gets: indices ascending, with their place."""
+    d = R.sparse_reduce(_coo(spark, sf_dir).withColumn("x", F.col("x") * 1000 - F.col("y")), ["x", "y", "z"], "sum", "data", "s")
+    return S.ordered_ranks(d, ["x", "y", "z"], "place")
+
+
+def segment_shapes(spark, sf_dir):
+    """Rectangles of two shapes, with the extremes and the product of each cell."""
+    sx, sy, wide = F.pmod("l_orderkey", F.lit(6)), F.pmod("l_partkey", F.lit(6)), F.col("l_linenumber") % 2
+    q = F.col("l_quantity").cast("long")
+    d = _line(spark, sf_dir).select(sx.alias("sx"), sy.alias("sy"), (sx + 1 + 2 * wide).alias("ex"), (sy + 1 - wide).alias("ey"), F.array(q, q + 1, q + 2, q + 3).alias("vals"))
+    most, least = (R.segment_reduce(d, ["sx", "sy", "ex", "ey"], "vals", op, op) for op in ("max", "min"))
+    signs = d.withColumn("vals", F.transform("vals", lambda v: F.when(v % 2 == 0, 1.0).otherwise(-1.0)))
+    return most.join(least, ["x", "y"]).join(R.segment_reduce(signs, ["sx", "sy", "ex", "ey"], "vals", "product", "sign"), ["x", "y"])
+
+
+def msa_product(spark, sf_dir):
+    d = _line(spark, sf_dir).select(F.pmod("l_partkey", F.lit(5000)).alias("idx"), F.when(F.col("l_linenumber") % 2 == 0, -1.0).otherwise(1.0).alias("v"))
+    return R.accumulate(d, "idx", 5000, "product", "v", "sign")
+
+
+def msa_lists(spark, sf_dir):
+    """Items appended to an index, ascending, as their order is not defined; untouched indices have an empty list."""
+    d = load(spark, sf_dir, "supplier").select(F.pmod("s_nationkey", F.lit(40)).alias("idx"), "s_suppkey")
+    found = d.groupBy("idx").agg(R.REDUCERS["set"](F.col("s_suppkey")).alias("v"))
+    return spark.range(40).withColumnRenamed("id", "idx").join(found, "idx", "left").select("idx", F.coalesce(F.array_join(F.col("v").cast("array<string>"), ","), F.lit("")).alias("items"))
+
+
 def segment_pairs(spark, sf_dir):
     """Cells of number pairs, summed field by field."""
     x, y = F.pmod("l_orderkey", F.lit(6)).alias("x"), F.pmod("l_partkey", F.lit(6)).alias("y")
@@ -176,12 +220,12 @@ def segment_pairs(spark, sf_dir):
 
 def msa_accumulate(spark, sf_dir):
     """Every index has a value, untouched ones the identity."""
-    d = _line(spark, sf_dir).where("l_quantity > 49").select(F.pmod("l_partkey", F.lit(5000)).alias("idx"), "l_linenumber")
+    d = _line(spark, sf_dir).select(F.pmod("l_partkey", F.lit(5000)).alias("idx"), "l_linenumber")
     return R.accumulate(d, "idx", 5000, "sum", "l_linenumber", "total")
 
 
 def msa_max(spark, sf_dir):
-    d = _line(spark, sf_dir).where("l_quantity > 49").select(F.pmod("l_partkey", F.lit(5000)).alias("idx"), "l_orderkey")
+    d = _line(spark, sf_dir).select(F.pmod("l_partkey", F.lit(5000)).alias("idx"), "l_orderkey")
     return R.accumulate(d, "idx", 5000, "max", "l_orderkey", "top", identity=-(2**63) + 1)
 
 
@@ -202,7 +246,7 @@ SPECS = {
     "reduce_extremes": (reduce_extremes, f"SELECT l_returnflag, l_linestatus, max(l_extendedprice) AS max_price, min(l_extendedprice) AS min_price, max(l_orderkey) AS max_key, min(l_orderkey) AS min_key {_L} GROUP BY ALL"),
     "reduce_logical": (reduce_logical, f"SELECT l_orderkey, bool_and(l_linenumber % 3 <> 0)::INTEGER AS all_true, bool_or(l_linenumber % 3 <> 0)::INTEGER AS any_true, (count(*) FILTER (l_linenumber % 3 <> 0) % 2)::INTEGER AS odd_true {_L} GROUP BY l_orderkey"),
     "reduce_bitvec": (reduce_bitvec, f"SELECT l_suppkey, bit_and(l_orderkey) AS and_key, bit_or(l_orderkey) AS or_key, bit_xor(l_orderkey) AS xor_key {_L} GROUP BY l_suppkey"),
-    "reduce_random": (reduce_random, None),
+    "reduce_random": (reduce_random, f"SELECT l_returnflag, count(*) > 0 AS is_member {_L} GROUP BY 1"),
     "reduce_nop": (reduce_nop, f"SELECT count(*) > 0 AS arrived {_L}"),
     "reduce_concat": (reduce_concat, f"SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) AS parts {_L} GROUP BY l_orderkey"),
     "reduce_set": (reduce_set, f"SELECT l_orderkey, count(*) AS members, (2 * count(*))::BIGINT AS items {_L} GROUP BY l_orderkey"),
@@ -222,9 +266,19 @@ SPECS = {
     "sparse_2d": (sparse_2d, f"SELECT l_orderkey % 16 AS x, l_partkey % 16 AS y, sum(l_linenumber)::BIGINT AS s {_L} GROUP BY 1, 2"),
     "sparse_3d": (sparse_3d, f"SELECT l_orderkey % 16 AS x, l_partkey % 16 AS y, l_suppkey % 8 AS z, max(l_quantity) AS m {_L} GROUP BY 1, 2, 3"),
     "segment_sum": (segment_sum, f"SELECT l_orderkey % 6 + p % 2 AS x, l_partkey % 6 + p // 2 AS y, sum(l_quantity::BIGINT + p)::BIGINT AS v FROM lineitem, (SELECT unnest([0, 1, 2, 3])::BIGINT AS p) GROUP BY 1, 2"),
+    "sparse_typed": (
+        sparse_typed,
+        "SELECT l_orderkey % 512 AS x, l_partkey % 64 AS y, "
+        + ", ".join(f"{op}({c}::DOUBLE)::DOUBLE AS {op}_{kind}" for op in ("sum", "product", "max", "min") for c, kind in (("l_linenumber", "int"), ("(1 + l_linenumber % 3 / 2)", "float"), ("(1 + l_linenumber % 3 / 2)", "double")))
+        + f" {_L} GROUP BY 1, 2",
+    ),
+    "sparse_sorted": (sparse_sorted, f"SELECT *, row_number() OVER (ORDER BY x, y, z) - 1 AS place FROM (SELECT l_orderkey % 16 * 1000 - l_partkey % 16 AS x, l_partkey % 16 AS y, l_suppkey % 8 AS z, sum(l_linenumber)::BIGINT AS s {_L} GROUP BY 1, 2, 3)"),
+    "segment_shapes": (segment_shapes, f"SELECT l_orderkey % 6 + CASE WHEN l_linenumber % 2 = 1 THEN p ELSE p % 2 END AS x, l_partkey % 6 + CASE WHEN l_linenumber % 2 = 1 THEN 0 ELSE p // 2 END AS y, max(l_quantity::BIGINT + p)::BIGINT AS max, min(l_quantity::BIGINT + p)::BIGINT AS min, product(CASE WHEN (l_quantity::BIGINT + p) % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE) AS sign FROM lineitem, (SELECT unnest([0, 1, 2, 3])::BIGINT AS p) GROUP BY 1, 2"),
+    "msa_product": (msa_product, f"SELECT idx, coalesce(s, 1)::DOUBLE AS sign FROM (SELECT unnest(range(5000)) AS idx) LEFT JOIN (SELECT l_partkey % 5000 AS idx, product(CASE WHEN l_linenumber % 2 = 0 THEN -1.0 ELSE 1.0 END::DOUBLE) AS s {_L} GROUP BY 1) USING (idx)"),
+    "msa_lists": (msa_lists, "SELECT idx, coalesce(v, '') AS items FROM (SELECT unnest(range(40)) AS idx) LEFT JOIN (SELECT s_nationkey % 40 AS idx, string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey) AS v FROM supplier GROUP BY 1) USING (idx)"),
     "segment_pairs": (segment_pairs, f"SELECT l_orderkey % 6 AS x, l_partkey % 6 AS y, round(sum(l_quantity), 3) AS re, sum(l_linenumber)::BIGINT AS im {_L} GROUP BY 1, 2"),
-    "msa_accumulate": (msa_accumulate, f"SELECT idx, coalesce(s, 0)::BIGINT AS total FROM (SELECT unnest(range(5000)) AS idx) LEFT JOIN (SELECT l_partkey % 5000 AS idx, sum(l_linenumber) AS s {_L} WHERE l_quantity > 49 GROUP BY 1) USING (idx)"),
-    "msa_max": (msa_max, f"SELECT idx, coalesce(s, -9223372036854775807)::BIGINT AS top FROM (SELECT unnest(range(5000)) AS idx) LEFT JOIN (SELECT l_partkey % 5000 AS idx, max(l_orderkey) AS s {_L} WHERE l_quantity > 49 GROUP BY 1) USING (idx)"),
+    "msa_accumulate": (msa_accumulate, f"SELECT idx, coalesce(s, 0)::BIGINT AS total FROM (SELECT unnest(range(5000)) AS idx) LEFT JOIN (SELECT l_partkey % 5000 AS idx, sum(l_linenumber) AS s {_L} GROUP BY 1) USING (idx)"),
+    "msa_max": (msa_max, f"SELECT idx, coalesce(s, -9223372036854775807)::BIGINT AS top FROM (SELECT unnest(range(5000)) AS idx) LEFT JOIN (SELECT l_partkey % 5000 AS idx, max(l_orderkey) AS s {_L} GROUP BY 1) USING (idx)"),
     "msa_histogram": (msa_histogram, f"SELECT bin, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range(10)) AS bin) LEFT JOIN (SELECT greatest(0, least(9, floor(l_extendedprice / 11000)))::BIGINT AS bin, count(*) AS n {_L} GROUP BY 1) USING (bin)"),
     "group_histogram": (group_histogram, "SELECT bin, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range(6)) AS bin) LEFT JOIN (SELECT greatest(0, least(5, floor(p_size / 9.0::DOUBLE)))::BIGINT AS bin, count(*) AS n FROM part GROUP BY 1) USING (bin)"),
 }

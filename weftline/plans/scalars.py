@@ -80,12 +80,11 @@ def json_field(spark, sf_dir):
 
 
 def _boxes(spark, sf_dir):
-    """Boxes from the lines of the first parts, flat ones included."""
-    d = load(spark, sf_dir, "lineitem").where("l_partkey <= 60")
-    lo = {"x": F.col("l_quantity"), "y": F.col("l_discount") * 100, "z": F.col("l_tax") * 100}
-    side = {"x": F.col("l_linenumber") % 4, "y": F.col("l_linenumber") % 3, "z": F.col("l_orderkey") % 3}
-    d = d.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_linenumber").alias("prio"), *(F.round(lo[k]).alias(f"lo_{k}") for k in P.AXES), *((F.round(lo[k]) + side[k]).alias(f"hi_{k}") for k in P.AXES))
-    return d.dropDuplicates(["id"])
+    """A box for each line of an order, flat ones included, along a strip of orders."""
+    line = F.col("l_linenumber")
+    d = load(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.round(F.col("l_discount") * 100)).alias("lo_y"), F.min(F.round(F.col("l_tax") * 100)).alias("lo_z"))
+    d = d.select((F.col("l_orderkey") * 10 + line).alias("id"), line.alias("prio"), F.col("l_orderkey").cast("double").alias("lo_x"), "lo_y", "lo_z", (line % 4).alias("wx"), (line % 3).alias("wy"), F.pmod("l_orderkey", F.lit(3)).alias("wz"))
+    return d.select("id", "prio", *(F.col(f"lo_{k}") for k in P.AXES), *((F.col(f"lo_{k}") + F.col(f"w{k}")).alias(f"hi_{k}") for k in P.AXES))
 
 
 def box_join(spark, sf_dir):
@@ -97,10 +96,9 @@ def grid_binning(spark, sf_dir):
 
 
 def mesh_collision(spark, sf_dir):
-    """Boxes of elements from their nodes, grown by a padding, then joined."""
-    nodes = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 40).cast("double").alias("x"), (F.floor(F.col("p_partkey") / 40) % 40).cast("double").alias("y"), F.col("p_size").cast("double").alias("z"))
-    conn = load(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 1").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("node"))
-    d = conn.join(nodes, "node").groupBy("id").agg(*((F.min(k) - 0.5).alias(f"lo_{k}") for k in P.AXES), *((F.max(k) + 0.5).alias(f"hi_{k}") for k in P.AXES)).withColumn("prio", F.col("id"))
+    """Boxes of elements from their nodes, grown by a padding, then joined: orders are elements, their lines nodes."""
+    nodes = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_orderkey") + 10 * F.col("l_discount")).alias("x"), F.col("l_quantity").alias("y"), (100 * F.col("l_tax")).alias("z"))
+    d = nodes.groupBy("id").agg(*((F.min(k) - 0.25).alias(f"lo_{k}") for k in P.AXES), *((F.max(k) + 0.25).alias(f"hi_{k}") for k in P.AXES)).withColumn("prio", F.col("id"))
     return P.box_join(d, 16.0)
 
 
@@ -117,7 +115,7 @@ def near_pairs(spark, sf_dir):
 def shared_points(spark, sf_dir):
     """Points of different parts at one place."""
     d = load(spark, sf_dir, "lineitem").select(F.pmod("l_suppkey", F.lit(6)).alias("part"), F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_tax").alias("z"))
-    return P.shared_points(d, "part", "id", 4)
+    return P.shared_points(d, "part", "id")
 
 
 def cache_lookup(spark, sf_dir):
@@ -141,31 +139,35 @@ def tagged_receive(spark, sf_dir):
     return S.queue_order(o, ["tag", "source"], "o_orderkey", "o_orderkey").groupBy("tag").agg(F.max("turn").alias("deepest"), F.count("*").alias("n"))
 
 
-_CENTERS = [(0.1, 0.1), (0.0, 0.0), (-0.1, 0.1), (0.1, -0.1)]
+_CENTERS = [tuple(a * (-1.0 if d % 4 == k else 1.0) for d in range(64)) for k, a in enumerate((0.1, 0.0, 0.05, 0.1))]
 
 
 def nearest_center(spark, sf_dir):
-    v = F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
     d = load(spark, sf_dir, "embeddings").select("vec_id", P.nearest_center(v, _CENTERS).alias("z"))
     return d.select("vec_id", F.col("z.k").alias("k"), F.round("z.d", 9).alias("d"))
 
 
-_LO = "least({a}.{k}, {b}.{k})"
-_BOX = """SELECT DISTINCT ON (id) id, prio, x AS lo_x, x + sx AS hi_x, y AS lo_y, y + sy AS hi_y, z AS lo_z, z + sz AS hi_z FROM
-(SELECT l_orderkey * 10 + l_linenumber AS id, l_linenumber AS prio, round(l_quantity) AS x, round(l_discount * 100) AS y, round(l_tax * 100) AS z, l_linenumber % 4 AS sx, l_linenumber % 3 AS sy, l_orderkey % 3 AS sz FROM lineitem WHERE l_partkey <= 60)"""
+_BOX = """SELECT l_orderkey * 10 + l_linenumber AS id, l_linenumber AS prio, l_orderkey::DOUBLE AS lo_x, l_orderkey::DOUBLE + l_linenumber % 4 AS hi_x, min(round(l_discount * 100)) AS lo_y, min(round(l_discount * 100)) + l_linenumber % 3 AS hi_y, min(round(l_tax * 100)) AS lo_z, min(round(l_tax * 100)) + l_orderkey % 3 AS hi_z
+FROM lineitem GROUP BY l_orderkey, l_linenumber"""
 
 
 def _meets(k: str) -> str:
     return f"((a.lo_{k} <= b.lo_{k} AND b.lo_{k} < a.hi_{k}) OR (b.lo_{k} < a.lo_{k} AND a.lo_{k} < b.hi_{k}))"
 
 
-_MEETS = " AND ".join(map(_meets, "xyz"))
+# what the first two say follows from the others, but lets DuckDB join by ranges
+_MEETS = "a.lo_x <= b.hi_x AND b.lo_x <= a.hi_x AND " + " AND ".join(map(_meets, "xyz"))
 _ROL = lambda x, n: f"(((({x}) << {n}) | (({x}) >> {32 - n})) & 4294967295)"
 _T = "greatest(0.0, least(1.0, (p_size - 1) / 50.0))::DOUBLE"
-_NEAR = ", ".join(f"struct_pack(d := (embedding[1]::DOUBLE - {a})**2 + (embedding[2]::DOUBLE - {b})**2, k := {k}::BIGINT)" for k, (a, b) in enumerate(_CENTERS))
+_NEAR = ", ".join(f"struct_pack(d := list_sum(list_transform(list_zip(v, {list(c)}::DOUBLE[]), lambda z: (z[1] - z[2]) ** 2)), k := {k}::BIGINT)" for k, c in enumerate(_CENTERS))
+_BITS = "list_transform(range({first}, length(s_name)), lambda i: list_transform({order}, lambda k: (ascii(substr(s_name, i + 1, 1))::BIGINT >> k) & 1))"
+_CRC_MSB = f"list_reduce(list_prepend(xor(list_sum(list_transform([0, 1, 2, 3], lambda i: ascii(substr(s_name, i + 1, 1))::BIGINT << (24 - 8 * i)))::BIGINT, 4294967295), flatten({_BITS.format(first=4, order='[7, 6, 5, 4, 3, 2, 1, 0]')})), lambda r, b: xor(((r << 1) & 4294967295) | b, CASE WHEN r >> 31 = 1 THEN 79764919 ELSE 0 END))"
+_CRC_LSB = f"list_reduce(list_prepend(4294967295, flatten({_BITS.format(first=0, order='[0, 1, 2, 3, 4, 5, 6, 7]')})), lambda r, b: xor(r >> 1, CASE WHEN xor(r, b) & 1 = 1 THEN 3988292384 ELSE 0 END))"
+_LFSR = "list_reduce(list_prepend(s_suppkey::UBIGINT << 50, list_transform(range(16), lambda i: i::UBIGINT)), lambda k, i: xor((k & 9223372036854775807::UBIGINT) * 2::UBIGINT, CASE WHEN k > 9223372036854775807::UBIGINT THEN 7::UBIGINT ELSE 0::UBIGINT END))"
 SPECS = {
     "regex_captures": (regex_captures, "SELECT event_id, nullif(regexp_extract(props, '\"(\\w+)\":\\s*(\\d+)', 1), '') AS name, nullif(regexp_extract(props, '\"(\\w+)\":\\s*(\\d+)', 2), '') AS number FROM events"),
-    "crc_msb_first": (crc_msb_first, None),
+    "crc_msb_first": (crc_msb_first, f"SELECT s_suppkey, xor({_CRC_MSB}, 4294967295) AS crc, xor({_CRC_LSB}, 4294967295) AS crc_reflected FROM supplier"),
     "hash_functions": (hash_functions, None),
     "voxel_hash": (voxel_hash, f"SELECT p_partkey, ({_ROL('p_partkey', 6)} + {_ROL('p_size::BIGINT', 17)} + {_ROL('p_partkey % 7', 28)}) & 4294967295 AS h FROM part"),
     "complex_numbers": (complex_numbers, "SELECT p_partkey, a * c - b * d AS mul_re, a * d + b * c AS mul_im, a + c AS add_re, b + d AS add_im, a - c AS sub_re, b + d AS sub_im, 3 * b AS scaled_im FROM (SELECT p_partkey, p_size::BIGINT AS a, p_partkey AS b, p_partkey % 5 AS c, p_partkey % 3 AS d FROM part)"),
@@ -174,16 +176,16 @@ SPECS = {
     "grid_mapping": (grid_mapping, "SELECT floor((l_quantity - 0.5) * 0.125)::BIGINT AS cell, count(*) AS n FROM lineitem GROUP BY 1"),
     "random_numbers": (random_numbers, "SELECT true AS mean_ok, true AS sd_ok, true AS low_ok, true AS high_ok"),
     "color_scale": (color_scale, f"SELECT p_partkey, greatest(0, round(510 * {_T})::INTEGER - 255)::INTEGER AS r, least(255, least(round(510 * {_T})::INTEGER, round(510 * (1 - {_T}))::INTEGER))::INTEGER AS g, greatest(0, round(510 * (1 - {_T}))::INTEGER - 255)::INTEGER AS b FROM part"),
-    "lfsr": (lfsr, None),
+    "lfsr": (lfsr, f"SELECT s_suppkey, CASE WHEN k > 9223372036854775807::UBIGINT THEN (k::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE k::BIGINT END AS k FROM (SELECT s_suppkey, {_LFSR} AS k FROM supplier)"),
     "torus_hops": (torus_hops, "SELECT p_partkey, (least(x, 5 - x) + abs(y - 3) + least(abs(z - 5), 6 - abs(z - 5)))::BIGINT AS hops FROM (SELECT p_partkey, p_partkey % 5 AS x, p_partkey // 5 % 4 AS y, p_partkey // 20 % 6 AS z FROM part)"),
     "json_field": (json_field, "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events"),
     "box_join": (box_join, f"WITH box AS ({_BOX}) SELECT a.id AS a, b.id AS b FROM box a JOIN box b ON a.prio < b.prio AND {_MEETS}"),
     "grid_binning": (grid_binning, f"WITH box AS ({_BOX}), c AS (SELECT id, unnest(range(floor(lo_x / 3)::BIGINT, greatest(floor(lo_x / 3) + 1, ceil(hi_x / 3))::BIGINT)) AS cx, * FROM box), d AS (SELECT *, unnest(range(floor(lo_y / 3)::BIGINT, greatest(floor(lo_y / 3) + 1, ceil(hi_y / 3))::BIGINT)) AS cy FROM c), e AS (SELECT *, unnest(range(floor(lo_z / 3)::BIGINT, greatest(floor(lo_z / 3) + 1, ceil(hi_z / 3))::BIGINT)) AS cz FROM d) SELECT cx, cy, cz, count(*) AS n FROM e GROUP BY 1, 2, 3"),
-    "mesh_collision": (mesh_collision, f"WITH n AS (SELECT p_partkey AS node, (p_partkey % 40)::DOUBLE AS x, (p_partkey // 40 % 40)::DOUBLE AS y, p_size::DOUBLE AS z FROM part), box AS (SELECT l_orderkey AS id, l_orderkey AS prio, min(x) - 0.5::DOUBLE AS lo_x, max(x) + 0.5::DOUBLE AS hi_x, min(y) - 0.5::DOUBLE AS lo_y, max(y) + 0.5::DOUBLE AS hi_y, min(z) - 0.5::DOUBLE AS lo_z, max(z) + 0.5::DOUBLE AS hi_z FROM lineitem JOIN n ON l_partkey = node WHERE l_orderkey % 40 = 1 GROUP BY 1) SELECT a.id AS a, b.id AS b FROM box a JOIN box b ON a.prio < b.prio AND {_MEETS}"),
+    "mesh_collision": (mesh_collision, f"WITH n AS (SELECT l_orderkey AS id, l_orderkey + 10 * l_discount AS x, l_quantity AS y, 100 * l_tax AS z FROM lineitem), box AS (SELECT id, id AS prio, min(x) - 0.25::DOUBLE AS lo_x, max(x) + 0.25::DOUBLE AS hi_x, min(y) - 0.25::DOUBLE AS lo_y, max(y) + 0.25::DOUBLE AS hi_y, min(z) - 0.25::DOUBLE AS lo_z, max(z) + 0.25::DOUBLE AS hi_z FROM n GROUP BY 1) SELECT a.id AS a, b.id AS b FROM box a JOIN box b ON a.prio < b.prio AND {_MEETS}"),
     "near_pairs": (near_pairs, "WITH p AS (SELECT c_custkey AS id, c_acctbal / 100 AS x, (c_custkey % 37)::DOUBLE AS y, (c_custkey % 11)::DOUBLE AS z FROM customer) SELECT a.id AS a, b.id AS b, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), 6) AS r2 FROM p a JOIN p b ON a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) >= 0.001::DOUBLE AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 9"),
     "shared_points": (shared_points, "WITH p AS (SELECT l_suppkey % 6 AS part, min(l_orderkey) AS id, round(l_quantity, 4) AS x, round(l_discount, 4) AS y, round(l_tax, 4) AS z FROM lineitem GROUP BY 1, 3, 4, 5) SELECT a.part AS low_part, a.id AS low_id, b.part AS high_part, b.id AS high_id FROM p a JOIN p b ON a.part < b.part AND a.x = b.x AND a.y = b.y AND a.z = b.z"),
     "cache_lookup": (cache_lookup, "SELECT p_brand, count(*) AS requests, sum(p_size)::BIGINT AS data FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1"),
     "when_join": (when_join, "WITH e AS (SELECT event_id, user_id % 40 AS ref, event_type, row_number() OVER (PARTITION BY user_id % 40, event_type ORDER BY event_id) AS t FROM events) SELECT a.ref, a.event_id AS a, b.event_id AS b, greatest(a.event_id, b.event_id) AS fires_at FROM e a JOIN e b ON a.ref = b.ref AND a.t = b.t AND a.event_type = 'click' AND b.event_type = 'purchase'"),
     "tagged_receive": (tagged_receive, "SELECT tag, max(n) AS deepest, sum(n)::BIGINT AS n FROM (SELECT o_custkey % 20 AS tag, o_orderkey % 3 AS source, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1"),
-    "nearest_center": (nearest_center, f"SELECT vec_id, z.k AS k, round(z.d, 9) AS d FROM (SELECT vec_id, list_min([{_NEAR}]) AS z FROM embeddings)"),
+    "nearest_center": (nearest_center, f"SELECT vec_id, z.k AS k, round(z.d, 9) AS d FROM (SELECT vec_id, list_min([{_NEAR}]) AS z FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings))"),
 }

@@ -156,6 +156,17 @@ def list_intersect(spark, sf_dir):
     return d.select("l_orderkey", F.size(F.array_intersect("a", "b")).cast("long").alias("n"))
 
 
+
+def _hilbert_sql(order: int) -> str:
+    """The place of each cell, a step for each bit of its coordinates."""
+    sql = f"WITH h{order} AS (SELECT k % {1 << order} AS x0, k // {1 << order} AS y0, k % {1 << order} AS x, k // {1 << order} AS y, 0::BIGINT AS d FROM (SELECT unnest(range({1 << 2 * order})) AS k))"
+    for k in reversed(range(order)):
+        n, top = 1 << k, (1 << order) - 1
+        sql += f", r{k} AS (SELECT *, x >> {k} & 1 AS rx, y >> {k} & 1 AS ry FROM h{k + 1}), t{k} AS (SELECT x0, y0, ry, d + {n * n} * xor(3 * rx, ry) AS d, CASE WHEN ry = 0 AND rx = 1 THEN {top} - x ELSE x END AS a, CASE WHEN ry = 0 AND rx = 1 THEN {top} - y ELSE y END AS b FROM r{k})"
+        sql += f", h{k} AS (SELECT x0, y0, CASE WHEN ry = 0 THEN b ELSE a END AS x, CASE WHEN ry = 0 THEN a ELSE b END AS y, d FROM t{k})"
+    return sql + " SELECT x0 AS x, y0 AS y, d AS place FROM h0"
+
+
 SPECS = {
     "index_space": (index_space, "SELECT count(*) AS n, sum(a + b + c + d + e + f)::BIGINT AS total FROM (SELECT unnest([0, 3, 6, 9]) AS a), (SELECT unnest([1, 2, 3, 4]) AS b), (SELECT unnest([2, 4, 6, 8]) AS c), (SELECT unnest([0, 1]) AS d), (SELECT 5 AS e), (SELECT unnest([0, 1, 2]) AS f)"),
     "strided_section": (strided_section, "SELECT " + ", ".join(f"(sum(p_size) FILTER (p_partkey BETWEEN 1 AND 120 AND (p_partkey - 1) % {k} = 0))::BIGINT AS sum_{k}" for k in (1, 2, 3)) + " FROM part"),
@@ -175,7 +186,7 @@ SPECS = {
     "sort_by_coordinates": (sort_by_coordinates, "SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity, l_discount, l_tax, l_orderkey, l_linenumber) AS place FROM lineitem"),
     "event_queue": (event_queue, "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events"),
     "median_split": (median_split, "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS median FROM lineitem GROUP BY 1"),
-    "hilbert_order": (hilbert_order, None),
+    "hilbert_order": (hilbert_order, _hilbert_sql(4)),
     "bitvector_ops": (bitvector_ops, "SELECT p_partkey, a | b AS either, a & b AS both, a & ~b AS only_a, ~a & 65535 AS inverse, a << 3 AS up, b >> 2 AS down, (a << 16) | b AS concat FROM (SELECT p_partkey, p_size::BIGINT AS a, p_partkey % 65536 AS b FROM part)"),
     "group_union_order": (group_union_order, "SELECT p_partkey, row_number() OVER (ORDER BY p_size >= 6, CASE WHEN p_size < 6 THEN p_partkey ELSE -p_partkey END) - 1 AS turn FROM part WHERE p_size <= 9"),
     "unique_elements": (unique_elements, "SELECT DISTINCT l_suppkey, l_partkey FROM lineitem"),

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from weftline.lineage import cut, new_folder
+from weftline.operators import select as S
 from weftline.operators import tracelog as G
+from weftline.sources import ranges as B
 from weftline.streaming import streams as T
 from weftline.tables import load
 
@@ -41,14 +44,35 @@ def chunk_items(spark, sf_dir):
     return back.select("item_id", F.md5("data").alias("digest"), F.char_length("data").alias("n"))
 
 
+def ranged_io(spark, sf_dir):
+    """Texts written by a session at offsets that follow each other, and read back by ranges."""
+    d = load(spark, sf_dir, "benchmark").select("item_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"))
+    d = cut(S.ordered_ranks(d, ["item_id"], "rank"))
+    place = Window.orderBy("block")
+    blocks = d.groupBy(F.floor(F.col("rank") / 1024).alias("block")).agg(F.sum(F.length("data")).alias("size"))
+    first = blocks.select("block", (F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("first"))
+    inside = Window.partitionBy("block").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("block", F.floor(F.col("rank") / 1024)).join(first, "block").withColumn("offset", F.col("first") + F.sum(F.length("data")).over(inside) - F.length("data"))
+    d = cut(d.select("item_id", "offset", "data"))
+    parts = B.write_session(d, new_folder(spark))
+    back = B.read_session(parts, d.select("offset", F.length("data").alias("length")).where("length > 0"))
+    return d.select("item_id", "offset").where(F.length("data") > 0).join(back, "offset").select("item_id", F.md5("data").alias("digest"), F.length("data").alias("n_bytes"))
+
+
 def completion(spark, sf_dir):
     e = load(spark, sf_dir, "events").groupBy(F.pmod("user_id", F.lit(8)).alias("pe")).agg(F.count_if(F.col("event_type") == "view").alias("p"), F.count_if(F.col("event_type") == "click").alias("c"), F.lit(True).alias("done"))
     return T.completion(e, "p", "c", "done")
 
 
 def quiescence(spark, sf_dir):
-    d = load(spark, sf_dir, "events").select(F.lit(1).alias("created"), F.lit(1).alias("processed"))
-    return spark.range(1).select(F.lit(T.quiescent(d, d)).alias("quiescent"))
+    """Counting phases over unlike states: nothing changed, something created in between, something not yet processed."""
+    e = load(spark, sf_dir, "events")
+    view = (F.col("event_type") == "view").cast("long")
+    whole = e.select(F.lit(1).alias("created"), F.lit(1).alias("processed"))
+    early = e.where("event_type <> 'view'").select(F.lit(1).alias("created"), F.lit(1).alias("processed"))
+    open_ = e.select(F.lit(1).alias("created"), (1 - view).alias("processed"))
+    rows = [("unchanged", T.quiescent(whole, whole)), ("grown", T.quiescent(early, whole)), ("waiting", T.quiescent(open_, open_))]
+    return spark.createDataFrame(rows, "phase string, quiescent boolean")
 
 
 def event_time_fold(spark, sf_dir):
@@ -138,7 +162,8 @@ SPECS = {
     "tumbling_windows": (tumbling_windows, "SELECT epoch(date_trunc('day', ts))::BIGINT AS start_s, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "chunk_items": (chunk_items, "SELECT item_id, md5(text) AS digest, length(text)::INTEGER AS n FROM benchmark"),
     "completion": (completion, "SELECT (count(*) FILTER (event_type = 'view'))::BIGINT AS produced, (count(*) FILTER (event_type = 'click'))::BIGINT AS consumed, true AS all_done, count(*) FILTER (event_type = 'view') = count(*) FILTER (event_type = 'click') AS complete FROM events"),
-    "quiescence": (quiescence, "SELECT true AS quiescent"),
+    "ranged_io": (ranged_io, "SELECT item_id, md5(text) AS digest, octet_length(encode(text)) AS n_bytes FROM benchmark WHERE text <> ''"),
+    "quiescence": (quiescence, "WITH c AS (SELECT count(*) AS n, count(*) FILTER (event_type <> 'view') AS m FROM events) SELECT 'unchanged' AS phase, n = n AS quiescent FROM c UNION ALL SELECT 'grown', m = n FROM c UNION ALL SELECT 'waiting', n = m FROM c"),
     "event_time_fold": (event_time_fold, "SELECT user_id % 50 AS obj, count(*) AS events, round(list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY ts, value)), lambda s, v: s / 2 + v), 6) AS state FROM events GROUP BY 1"),
     "commit_before": (commit_before, "WITH g AS (SELECT min(t) AS gvt FROM (SELECT max(ts) AS t FROM events GROUP BY event_type)) SELECT event_type, count(*) FILTER (ts < gvt) AS committed, count(*) FILTER (ts >= gvt) AS waiting FROM events, g GROUP BY 1"),
     "sequential_events": (sequential_events, "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events"),

@@ -1,21 +1,27 @@
-"""Readers of mesh, tour, clause and edge files, of byte ranges and of event logs; all by Spark's own scans."""
+"""Readers of mesh, tour, clause and edge files and of event logs; all by Spark's own scans."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def _fields(spark: SparkSession, path: str, pattern: str = r"\s+") -> DataFrame:
-    """(file, line, f) with the fields of every line that is not empty; lines keep their order within a file by ``line``."""
-    rows = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).withColumn("file", F.input_file_name())
+    """(file, line, f) with the fields of every line that is not empty; lines ascend within a file: by the block that they lie in, then in it."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("line"))
     return rows.select("file", "line", F.split(F.trim("value"), pattern).alias("f")).where(F.col("f")[0] != "")
 
 
 def read_mesh_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """(id, x, y, boundary) of ``.node`` files: a head line, a line per node, comments after #."""
-    d = _fields(spark, path).where(~F.col("f")[0].startswith("#") & (F.size("f") >= 4) & F.col("f")[1].contains("."))
-    return d.select(F.col("f")[0].cast("long").alias("id"), F.col("f")[1].cast("double").alias("x"), F.col("f")[2].cast("double").alias("y"), F.element_at("f", -1).cast("int").alias("boundary"))
+    """(id, x, y, boundary) of ``.node`` files: a head line (nodes, dimensions, attributes, markers), a line per node, comments after #.
+
+    The head is the first line that is no comment. boundary is null where the head names no markers.
+    """
+    d = _fields(spark, path).where(~F.col("f")[0].startswith("#"))
+    heads = d.groupBy("file").agg(F.min(F.struct("line", "f")).alias("head")).select("file", F.col("head.line").alias("first"), (F.element_at("head.f", 4) != "0").alias("marked"))
+    d = d.join(heads, "file").where(F.col("line") != F.col("first"))
+    marker = F.when(F.col("marked"), F.element_at("f", -1).cast("int"))
+    return d.select(F.col("f")[0].cast("long").alias("id"), F.col("f")[1].cast("double").alias("x"), F.col("f")[2].cast("double").alias("y"), marker.alias("boundary"))
 
 
 def read_mesh_elements(spark: SparkSession, path: str) -> DataFrame:
@@ -31,9 +37,12 @@ def read_tour(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_clauses(spark: SparkSession, path: str) -> DataFrame:
-    """(clause, literals) of a CNF file with a clause per line, closed by 0."""
+    """(file, clause, literals) of CNF files: clauses from 0, each closed by 0, over as many lines as it takes."""
     d = _fields(spark, path).where(F.col("f")[0].rlike(r"^-?\d+$"))
-    return d.select(F.col("line").alias("clause"), F.filter(F.transform("f", lambda x: x.cast("int")), lambda x: x != 0).alias("literals"))
+    tokens = d.select("file", "line", F.posexplode("f").alias("pos", "x")).withColumn("x", F.col("x").cast("int"))
+    before = Window.partitionBy("file").orderBy("line", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    tokens = tokens.withColumn("clause", F.coalesce(F.count_if(F.col("x") == 0).over(before), F.lit(0))).where("x <> 0")
+    return tokens.groupBy("file", "clause").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "pos", "x"))), lambda z: z["x"]).alias("literals"))
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -42,19 +51,6 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
     return d.select(F.col("f")[0].cast("long").alias("u"), F.col("f")[1].cast("long").alias("v"))
 
 
-def read_ranges(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """(path, offset, data) of whole files in ranges of ``size`` bytes; every byte lies in one range."""
-    files = spark.read.format("binaryFile").load(path)
-    n = F.greatest(F.lit(1), F.ceil(F.col("length") / size).cast("int"))
-    parts = files.select("path", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
-    return parts.select("path", (F.col("k").cast("long") * size).alias("offset"), F.expr(f"substring(content, k * {size} + 1, {size})").alias("data"))
-
-
-def write_ranges(ranges: DataFrame, path: str) -> None:
-    """Ranges as a table that is committed as a whole."""
-    ranges.write.parquet(path)
-
-
 LOG_SCHEMA = "type int, time long, pe int, event int, entry int, msglen int"
 
 

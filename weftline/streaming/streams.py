@@ -9,7 +9,6 @@ rolled back.
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -121,6 +120,3 @@ def event_time_fold(events: DataFrame, key: str, time: str, value: str, step: Ca
     grouped = rows.withWatermark("t", delay).groupBy(key)
     return grouped.applyInPandasWithState(commit, f"`{key}` long, events long, state double", "n long, s double, waiting string", "append", "EventTimeTimeout")
 
-
-def stream_name() -> str:
-    return "weftline_" + uuid.uuid4().hex
