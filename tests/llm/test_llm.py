@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 
 import oracle
+from weftline.lineage import new_folder
 from weftline.llm import bpe_count, licenses, mixing, packing, ppm, quality, queries, rpforest, simhash, tokenbin, tokens, trie, warc
 from weftline.tables import load
 
@@ -242,6 +243,34 @@ def test_forest_of_dense_and_odd_vectors(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("width", [64, 8])
+def test_forest_finds_planted_pairs_across_splits(spark, width):
+    rng = np.random.default_rng(width)
+    base = rng.standard_normal((1500, width))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((1500, width))
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9802, 0.983, (1500, 1))
+    both = np.concatenate((base, cosine * base + np.sqrt(1 - cosine**2) * side)).astype(np.float32)
+    d = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(both)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in rpforest.embedding_near_duplicates(d, leaf_rows=128).collect()}
+    unit = both.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & ~np.eye(len(unit), dtype=bool)
+    i, j = np.nonzero(near)
+    roots = _components(len(unit), zip(i.tolist(), j.tolist(), strict=True))
+    assert got == {k: (int(n), roots[k]) for k, n in enumerate(near.sum(axis=1))} and len(i) >= 3000
+
+
+def test_forest_of_empty_and_repeated_rows(spark):
+    schema = "vec_id long, embedding array<float>, label int, id long, key string, unit string, many int"
+    assert rpforest.embedding_near_duplicates(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, [1.0, 0.0], 3, 5, "k", "u", 9), (1, [1.0, 0.0], 3, 5, "k", "u", 9), (2, [2.0, 0.0], 3, 5, "k", "u", 9), (None, [1.0, 0.0], 3, 5, "k", "u", 9), (4, [1.0, None], 3, 5, "k", "u", 9)]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in rpforest.embedding_near_duplicates(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (4, 0, 4, True), (None, 0, None, None)]
+
+
 def _archive(compress):
     import gzip
 
@@ -452,6 +481,67 @@ def test_packing(spark, sf_dir):
     assert _check_packing(rows) <= 1.02 * -(-sum(r.length for r in rows) // 4096) + 1
 
 
+def test_packing_within_its_bound(spark):
+    rng = random.Random(8)
+    lengths = [4096 if rng.random() < 0.1 else rng.randrange(1, 3000) for _ in range(4000)]
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long").repartition(3)
+    least = -(-sum(lengths) // 4096)
+    used = {k: _check_packing(packing.pack_pieces(pieces, 4096, open_bins=k, block_pieces=2000).collect()) for k in (2, 16, 64)}
+    assert used[2] > used[16] >= used[64] and used[64] <= 1.02 * least  # the bound costs something, and at its set value little
+    many = packing.pack_pieces(pieces, 4096).collect()
+    assert len(many) == 4000 and sorted((r.doc_id, r.length) for r in many) == sorted(enumerate(lengths))
+
+
+def test_token_files_split_an_id_of_many_rows(spark):
+    rows = [(None if k % 3 else 7, f"text {k}") for k in range(600)] + [(9, "last")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few bytes would be one range
+    try:
+        files = tokenbin.write_token_files(d, queries.vocabulary("byte_bpe_50k.json"), 2, new_folder(spark))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.where("first_doc is null and last_doc is null").count() > 1
+    got = tokenbin.read_token_files(files).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in rows)
+    ordered = sorted((r.start, r.n_tokens, -1 if r.doc_id is None else r.doc_id) for r in got)
+    assert all(a[0] + a[1] == b[0] and a[2] <= b[2] for a, b in zip(ordered, ordered[1:], strict=False)) and ordered[0][0] == 0
+
+
+def test_token_counts_of_the_whole_table(spark, sf_dir):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.vocabulary("piece_bpe_32k.model"))
+    want = sorted((i, len(t.encode()), n, n > 4096) for i, t in _documents(spark, sf_dir) for n in [len(model.encode(t))])
+    got = queries.op6_token_counts(spark, sf_dir)
+    assert sorted(map(tuple, got.select("doc_id", "n_bytes", "n_tokens", "over_limit").collect())) == want
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    import corpus_pipeline as cp
+
+    prose = " ".join(f"the w{k} of x{k} and" for k in range(60))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, q_row string, q_kept string, mix_copies string, place string, row string, pipeline_lost_id long, id long, t string, key string"
+    extra = ("a", "b", "c", "d", "e", 1, 2, "f", "g")
+    rows = [(k, prose, "en", s, 9, *extra) for k, s in ((5, "x"), (3, "x"), (3, "x"), (None, "y"), (4, None))]
+    rows += [(10, None, None, None, None, *extra), (11, "", "en", "x", 0, *extra), (12, " ".join(f"word{k} the" for k in range(900_000)), "pl", "y", 1, *extra), (13, prose.replace("w7 ", "other "), "en", "x", 9, *extra)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = cp.quality_stage(spark, docs, "")
+    assert kept.columns == docs.columns and collections.Counter(r.doc_id for r in kept.collect()) == {5: 1, 3: 2, None: 1, 4: 1, 12: 1, 13: 1}
+    single = cp.dedup_stage(spark, kept, "")
+    # one of each group, with all rows of its id; rows without an id stay
+    assert single.columns == docs.columns and collections.Counter(r.doc_id for r in single.collect()) == {3: 2, None: 1, 12: 1}
+    mixed = cp.mixing_stage(spark, single, "")
+    counts = collections.Counter(r.doc_id for r in mixed.collect())
+    assert mixed.columns == docs.columns and counts.keys() == {3, None, 12} and counts[12] == 1 and counts[3] >= 2
+    packed = cp.packing_stage(spark, mixed, "").collect()
+    _check_packing(packed)
+    assert collections.Counter(r.doc_id for r in packed if r.piece == 0) == counts
+    none = docs.limit(0)
+    for _, stage in cp.STAGES:
+        assert stage(spark, none, "").count() == 0
+    assert simhash.simhash_near_duplicates(docs.select("doc_id", "text")).where("id = 10").first().component_id == 10
+
+
 def test_best_fit_closes_the_fullest():
     bins, offsets = packing.best_fit(np.array([6, 5, 4, 9, 5, 1]), 10, open_bins=2)
     assert bins.tolist() == [0, 1, 0, 2, 1, 2] and offsets.tolist() == [0, 0, 6, 0, 5, 9]

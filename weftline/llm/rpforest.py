@@ -10,7 +10,7 @@ so a leaf hands on counts and the links of a spanning forest, never its pairs.
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.components import connected_components
-from weftline.lineage import cut
+from weftline.lineage import cut, tidied
 from weftline.llm.groups import Forest
 
 #: Rows of a leaf that one task compares; a node beyond it is split.
@@ -29,6 +29,8 @@ LEAF_ROWS = 1024
 DENSE = 0.9
 #: Splits of a tree at most; larger nodes are then compared in blocks.
 LEVELS = 40
+#: Rows of a block of such a node: a row goes to as many tasks as the node has blocks.
+BLOCK_ROWS = 4096
 
 
 def _directions(trees: int, levels: int, width: int, seed: int) -> np.ndarray:
@@ -92,13 +94,9 @@ def _compare(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"a": np.concatenate((ids[hit], ids[i])), "b": np.concatenate((np.full(len(hit), -1), ids[j])), "n": np.concatenate((links[hit], np.zeros(len(i), np.int64)))})
 
 
-def _stable(*parts) -> float:
-    """A number in [-1, 1) from the parts."""
-    return zlib.crc32("/".join(map(str, parts)).encode()) / 2**31 - 1
-
-
+@tidied
 def embedding_near_duplicates(
-    vectors: DataFrame, threshold: float = 0.98, trees: int = 5, spill: float = 0.03, leaf_rows: int = LEAF_ROWS, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
+    vectors: DataFrame, threshold: float = 0.98, trees: int = 5, spill: float = 1.2, leaf_rows: int = LEAF_ROWS, block_rows: int = BLOCK_ROWS, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``vectors``.
 
@@ -111,11 +109,14 @@ def embedding_near_duplicates(
     with a null id link with nothing and get a null component. Other columns are
     not read. An empty table gives an empty result.
 
-    spill: half the width of the band whose rows go to both sides. At cosine
-    0.98 two unit vectors lie 0.2 apart, and along a random direction of 64
-    dimensions 0.025: a pair is parted in a split with a probability of about
-    0.001, in all of the trees with one far below 1e-6.
+    spill: half the width of the band whose rows go to both sides, in standard
+    deviations of what parts two rows at the threshold along a random direction:
+    their distance, over the root of the number of dimensions. So the band is the
+    same share of a node in any number of dimensions. At 1.2 a pair is parted in a
+    split with a probability of about 0.001, in all of the trees with one far
+    below 1e-6.
     """
+    apart = math.sqrt(max(2 - 2 * threshold, 0.0))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<float>").alias("v"))
     rows = rows.withColumn("good", F.coalesce((F.size("v") > 0) & F.col("label").isNotNull() & F.col("id").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)))
     rows = cut(rows.withColumn("key", F.when(F.col("good"), F.md5(F.concat(F.col("label").cast("string"), F.lit(":"), F.array_join(F.col("v").cast("array<string>"), ","))))))
@@ -137,7 +138,7 @@ def embedding_near_duplicates(
 
     heads = cut(heads.select("id", "many", "label", "v").mapInArrow(project, "id long, many long, label long, width int, unit array<double>, along array<float>"))
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    nodes = cut(heads.select("id", "label", "width", tree, F.lit("").alias("node"), "along").select("id", F.concat_ws("/", "label", "width", "tree").alias("root"), "node", F.slice("along", F.col("tree") * LEVELS + 1, LEVELS).alias("along")))
+    nodes = cut(heads.select("id", "label", "width", tree, F.lit("").alias("node"), "along").select("id", (F.lit(spill * apart) / F.sqrt("width")).alias("band"), F.concat_ws("/", "label", "width", "tree").alias("root"), "node", F.slice("along", F.col("tree") * LEVELS + 1, LEVELS).alias("along")))
 
     key = ["root", "node"]
     leaves: list[DataFrame] = []
@@ -152,13 +153,13 @@ def embedding_near_duplicates(
         leaves.append(nodes.join(large, key, "left_anti").select("id", *key, F.lit(False).alias("dense")))
         inside = nodes.join(large, key)
         t = F.element_at("along", level + 1)
-        low, high = t <= F.col("at") + spill, t >= F.col("at") - spill
+        low, high = t <= F.col("at") + F.col("band"), t >= F.col("at") - F.col("band")
         share = inside.groupBy(*key).agg(F.max("n").alias("n"), F.count_if(low).alias("lo"), F.count_if(high).alias("hi"))
         dense = cut(share.where((F.greatest("lo", "hi") > DENSE * F.col("n")) | F.lit(level + 1 >= LEVELS)).select(*key))
         leaves.append(nodes.join(dense, key, "left_semi").select("id", *key, F.lit(True).alias("dense")))
         inside = inside.join(dense, key, "left_anti")
         sides = F.array_compact(F.array(F.when(low, F.lit("0")), F.when(high, F.lit("1"))))
-        nodes = cut(inside.withColumn("side", F.explode(sides)).select("id", "root", F.concat("node", "side").alias("node"), "along"))
+        nodes = cut(inside.withColumn("side", F.explode(sides)).select("id", "band", "root", F.concat("node", "side").alias("node"), "along"))
         level += 1
     placed = leaves[0]
     for x in leaves[1:]:
@@ -166,7 +167,7 @@ def embedding_near_duplicates(
     leaf = F.xxhash64("root", "node").bitwiseAND(F.lit((1 << 62) - 1))
     placed = cut(placed.select("id", leaf.alias("leaf"), "dense"))
     # dense nodes: blocks of rows, each pair of blocks a task
-    sizes = placed.where("dense").groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / (leaf_rows // 2)).cast("int").alias("blocks"))
+    sizes = placed.where("dense").groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks"))
     own = placed.groupBy("id").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))  # as many as trees, times the spill
     carried = cut(heads.join(own, "id").select("id", "many", "unit", "leaves"))
     dealt = placed.join(sizes, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))

@@ -145,16 +145,19 @@ class Reader:
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One file per range of ids, ids ascending within and between files; (path, first_doc, docs, ids) per file.
+    """One file per range of ids, ids ascending within and between files; (path, first_doc, last_doc, docs, ids) per file.
+
+    Rows with equal ids, null ones too, may lie in several files that follow each
+    other, so an id that many rows have is no task's alone.
 
     Only finished attempts are listed, so lost executors and second attempts
     leave no trace in what is read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    rows = rows.repartitionByRange("d").sortWithinPartitions("d", "t")
+    rows = rows.withColumn("turn", F.monotonically_increasing_id()).repartitionByRange("d", "turn").sortWithinPartitions("d", "turn").select("d", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, first = encoder(vocabulary), None, None
+        enc, out, first, last = encoder(vocabulary), None, None, None
         width = 2 if max(enc.library.get_vocab_size(with_added_tokens=True) - 1, end_id) < 65536 else 4
         end = np.array([end_id], np.uint32)
         for part in slices(batches, ENCODED_ROWS):
@@ -163,16 +166,17 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
                     uri, f = create(folder, ".tok.zst")
                     out, first = Writer(f, width), doc
                 out.add(doc, np.concatenate((np.frombuffer(ids, np.uint32), end)))
+                last = doc
         if out is not None:
             out.close()
-            yield pa.record_batch([pa.array([uri]), pa.array([first], pa.int64()), pa.array([out.docs], pa.int64()), pa.array([out.total], pa.int64())], names=["path", "first_doc", "docs", "ids"])
+            yield pa.record_batch([pa.array([uri]), pa.array([first], pa.int64()), pa.array([last], pa.int64()), pa.array([out.docs], pa.int64()), pa.array([out.total], pa.int64())], names=["path", "first_doc", "last_doc", "docs", "ids"])
 
-    return cut(rows.mapInArrow(run, "path string, first_doc long, docs long, ids long"))
+    return cut(rows.mapInArrow(run, "path string, first_doc long, last_doc long, docs long, ids long"))
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) per document, from the files; start counts on from file to file."""
-    order = Window.orderBy(F.col("first_doc").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy(F.col("first_doc").asc_nulls_first(), F.col("last_doc").asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, -1)
     n = max(1, files.count())
     based = files.select("path", F.coalesce(F.sum("ids").over(order), F.lit(0)).alias("base"))  # a row per file
 
@@ -201,8 +205,8 @@ def read_token_files(files: DataFrame) -> DataFrame:
 def token_file_round_trip(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """Encodes all texts, writes them in ascending id order, and returns what the files hold.
 
-    Null texts are empty: their only id is ``end_id``. Rows with equal ids are
-    ordered by text and each kept; null ids come first. Other columns are not
+    Null texts are empty: their only id is ``end_id``. Rows with equal ids
+    follow each other in no set order and are each kept; null ids come first. Other columns are not
     read. An empty table makes no file and gives an empty result.
     """
     return read_token_files(write_token_files(docs, vocabulary, end_id, new_folder(docs.sparkSession)))

@@ -13,6 +13,7 @@ import base64
 import gzip
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -56,6 +57,13 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, dige
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def info(name: str) -> bytes:
+    """The record that a file begins with."""
+    block = b"software: weftline\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Filename: {name}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 @dataclass
 class Record:
     offset: int
@@ -240,7 +248,7 @@ def page_records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id"
 
 
 def write_archives(records: DataFrame, folder: str, compress: bool = True, rotate: int = ROTATE) -> DataFrame:
-    """Writes gzip-per-record archives; (path, bytes, records) per file, of finished attempts only."""
+    """Writes gzip-per-record archives; (path, bytes, records) per file, of finished attempts only. records leaves out the one that a file begins with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = uri = None
@@ -255,7 +263,10 @@ def write_archives(records: DataFrame, folder: str, compress: bool = True, rotat
                 page_id, url, payload, kind, first = (c[k].as_py() for c in batch.columns)
                 if f is None:
                     uri, f = create(folder, ".warc.gz" if compress else ".warc")
-                    n = at = 0
+                    data = info(uri.rpartition("/")[2])
+                    data = gzip.compress(data, 6, mtime=0) if compress else data
+                    f.write(data)
+                    n, at = 0, len(data)
                 data = record(kind, page_id, url, payload, sha1_base32(payload), first)
                 data = gzip.compress(data, 6, mtime=0) if compress else data
                 f.write(data)
@@ -292,41 +303,49 @@ def _row(path: str, x: Record | Gap) -> dict:
     return out | {"payload_digest": sha1_base32(payload), "payload_bytes": len(payload), "payload": payload}
 
 
-def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
+def read_archives(files: DataFrame, payloads: bool = True, whole: bool = False) -> DataFrame:
     """Rows of all records of the files named in ``path``, one file a task; quarantined gaps have a reason and no record_type.
 
-    payloads: also return the payload bytes of responses.
+    payloads: also return the payload bytes of responses. whole: files also say
+    how many ``records`` they hold; a file of which another number of pages is
+    read, or that has a gap, is an error.
     """
     keep = [n for n in _ROW.names if payloads or n != "payload"]
     schema = pa.schema([_ROW.field(n) for n in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with open_file(path) as f:
-                    rows, held = [], 0
+                    rows, held, pages = [], 0, 0
                     for x in salvage(f, f.size()):
                         rows.append(_row(path, x))
+                        pages += rows[-1]["record_type"] in ("response", "revisit")
+                        if whole and rows[-1]["reason"]:
+                            raise ValueError(f"{path} at {x.offset}: {rows[-1]['reason']}")
                         held += x.length
                         if len(rows) >= 1000 or held > 8 << 20:
                             yield pa.RecordBatch.from_pylist([{k: r[k] for k in keep} for r in rows], schema)
                             rows, held = [], 0
+                    if whole and pages != told:
+                        raise ValueError(f"{path}: {pages} pages read, {told} written")
                     if rows:
                         yield pa.RecordBatch.from_pylist([{k: r[k] for k in keep} for r in rows], schema)
 
     kinds = {"string": "string", "int64": "long", "binary": "binary"}
     ddl = ", ".join(f"`{f.name}` {kinds[str(f.type)]}" for f in schema)
     n = max(1, files.count())
-    return files.select("path").repartition(n).mapInArrow(run, ddl)
+    told = F.col("records") if whole else F.lit(None).cast("long")
+    return files.select("path", told.alias("records")).repartition(n).mapInArrow(run, ddl)
 
 
 def warc_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes the pages as WARC archives in the shared folder and reads them back.
 
     (page_id, payload_bytes, payload_digest, record_type, refers_to) per page,
-    all from the archives. Null ids, null and empty html, ties and repeated rows:
+    all from the archives; a record written that is not read is an error. Null ids, null and empty html, ties and repeated rows:
     see ``page_records``; each row is one record. Extra columns are not read. An
     empty table makes no file and gives an empty result.
     """
     files = write_archives(page_records(pages, least_bytes), new_folder(pages.sparkSession))
-    return read_archives(files, payloads=False).where("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(files, payloads=False, whole=True).where("record_type in ('response', 'revisit')").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
