@@ -26,8 +26,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more. Of repeated rows of an id all stay; rows with a null id stay."""
     groups = simhash.simhash_near_duplicates(docs, width=5, similarity=0.8)
-    lost = cut(groups.where("component_id <> id").select(F.col("id").alias("pipeline_lost_id")))
-    return docs.join(lost, F.col("doc_id").cast("long") == F.col("pipeline_lost_id"), "left_anti")
+    lost = cut(groups.where("component_id <> id").select(F.col("id").alias("lost_id")))
+    return docs.join(lost, docs["doc_id"].cast("long") == lost["lost_id"], "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -520,7 +520,7 @@ def test_pipeline_stages_on_odd_tables(spark):
     import corpus_pipeline as cp
 
     prose = " ".join(f"the w{k} of x{k} and" for k in range(60))
-    schema = "doc_id long, text string, lang string, source string, n_chars long, q_row string, q_kept string, mix_copies string, place string, row string, pipeline_lost_id long, id long, t string, key string"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, q_row string, q_kept string, mix_copies string, place string, row string, lost_id long, id long, t string, key string"
     extra = ("a", "b", "c", "d", "e", 1, 2, "f", "g")
     rows = [(k, prose, "en", s, 9, *extra) for k, s in ((5, "x"), (3, "x"), (3, "x"), (None, "y"), (4, None))]
     rows += [(10, None, None, None, None, *extra), (11, "", "en", "x", 0, *extra), (12, " ".join(f"word{k} the" for k in range(900_000)), "pl", "y", 1, *extra), (13, prose.replace("w7 ", "other "), "en", "x", 9, *extra)]
