@@ -1,5 +1,7 @@
 """Closed forms, ties, involutions and round trips."""
 
+import datetime
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -171,3 +173,38 @@ def test_periodic_nodes_meet_their_moved_partners(spark):
     assert M.periodic_nodes(a.limit(0), b).count() == 0
     # a set that is no copy: only what lies within the tolerance is matched
     assert M.periodic_nodes(a, b.withColumn("y", F.col("y") * 2)).count() == 0
+
+
+def test_event_time_stream_with_late_rows_and_a_restart(spark, tmp_path):
+    schema = "obj long, ts timestamp, value double"
+    at = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
+
+    def batch(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        out = T.run_to_end(T.event_time_fold(stream, "obj", "ts", "value", lambda s, v: s / 2 + v), folder=str(tmp_path / "work"))
+        return sorted(map(tuple, out.collect()))
+
+    batch([(1, at(0, 10), 3.0), (1, at(0), 2.0), (2, at(10), 1.0)])
+    assert run() == [(1, 2, 4.0)]  # the watermark is 9:00
+    # a new query goes on from the checkpoint: out of order within the delay, too late, and what moves time on
+    batch([(2, at(9, 30), 8.0), (3, at(8), 5.0), (4, at(20), 1.0)])
+    assert run() == [(1, 2, 4.0), (2, 2, 5.0)]
+
+
+def test_optimistic_fold_ends_as_the_sequential_one(spark):
+    rng = np.random.default_rng(6)
+    times = rng.integers(0, 50, 200).tolist()
+    rows = [(k % 3, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=t), k, float(k % 7)) for k, t in enumerate(times)]
+    d = spark.createDataFrame(rows, "obj long, ts timestamp, event_id long, value double")
+    step = lambda s, v: s / 2 + v
+    got = {r.obj: r for r in T.optimistic_fold(d, "obj", "ts", "event_id", "value", step).collect()}
+    for obj in range(3):
+        own = [r for r in rows if r[0] == obj]
+        s = 0.0
+        for r in sorted(own, key=lambda r: (r[1], r[2])):
+            s = step(s, r[3])
+        later = [sum(b[1] > a[1] for b in own if b[2] < a[2]) for a in own]
+        assert (got[obj].state, got[obj].undone, got[obj].rollbacks) == (s, sum(later), sum(n > 0 for n in later))

@@ -82,6 +82,20 @@ def event_time_fold(spark, sf_dir):
     return r.select("obj", "events", F.round("state", 6).alias("state"))
 
 
+def event_time_stream(spark, sf_dir):
+    """The same fold as a stream: an object is put out once the watermark has passed its last event."""
+    d = T.stream_table(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("obj"), "ts", "value")
+    r = T.run_to_end(T.event_time_fold(d, "obj", "ts", "value", lambda s, v: s / 2 + v, "2 days"))
+    return r.select("obj", "events", F.round("state", 6).alias("state"))
+
+
+def optimistic_fold(spark, sf_dir):
+    """Events taken in order of their ids, rolled back where time goes back."""
+    d = load(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(50)).alias("obj"), "ts", "event_id", "value")
+    r = T.optimistic_fold(d, "obj", "ts", "event_id", "value", lambda s, v: s / 2 + v)
+    return r.select("obj", "events", "rollbacks", "undone", F.round("state", 6).alias("state"))
+
+
 def commit_before(spark, sf_dir):
     """Events older than the least last time of all objects are committed."""
     e = load(spark, sf_dir, "events")
@@ -165,6 +179,14 @@ SPECS = {
     "ranged_io": (ranged_io, "SELECT item_id, md5(text) AS digest, octet_length(encode(text)) AS n_bytes FROM benchmark WHERE text <> ''"),
     "quiescence": (quiescence, "WITH c AS (SELECT count(*) AS n, count(*) FILTER (event_type <> 'view') AS m FROM events) SELECT 'unchanged' AS phase, n = n AS quiescent FROM c UNION ALL SELECT 'grown', m = n FROM c UNION ALL SELECT 'waiting', n = m FROM c"),
     "event_time_fold": (event_time_fold, "SELECT user_id % 50 AS obj, count(*) AS events, round(list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY ts, value)), lambda s, v: s / 2 + v), 6) AS state FROM events GROUP BY 1"),
+    "event_time_stream": (
+        event_time_stream,
+        "WITH m AS (SELECT epoch_ms(max(ts)) - 2 * 86400000 AS w FROM events), f AS (SELECT user_id AS obj, count(*) AS events, max(epoch_ms(ts)) AS last, list_reduce(list_prepend(0.0::DOUBLE, list(value::DOUBLE ORDER BY ts, value)), lambda s, v: s / 2 + v) AS state FROM events GROUP BY 1) SELECT obj, events, round(state, 6) AS state FROM f, m WHERE last + 1 < w",
+    ),
+    "optimistic_fold": (
+        optimistic_fold,
+        "WITH e AS (SELECT user_id % 50 AS obj, ts, event_id, value::DOUBLE AS v FROM events), u AS (SELECT a.obj, count(DISTINCT a.event_id) AS rollbacks, count(*) AS undone FROM e a JOIN e b ON a.obj = b.obj AND b.event_id < a.event_id AND b.ts > a.ts GROUP BY 1), f AS (SELECT obj, count(*) AS events, list_reduce(list_prepend(0.0::DOUBLE, list(v ORDER BY ts, event_id)), lambda s, x: s / 2 + x) AS state FROM e GROUP BY 1) SELECT obj, events, coalesce(rollbacks, 0)::BIGINT AS rollbacks, coalesce(undone, 0)::BIGINT AS undone, round(state, 6) AS state FROM f LEFT JOIN u USING (obj)",
+    ),
     "commit_before": (commit_before, "WITH g AS (SELECT min(t) AS gvt FROM (SELECT max(ts) AS t FROM events GROUP BY event_type)) SELECT event_type, count(*) FILTER (ts < gvt) AS committed, count(*) FILTER (ts >= gvt) AS waiting FROM events, g GROUP BY 1"),
     "sequential_events": (sequential_events, "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events"),
     "elapse": (elapse, "SELECT event_id, (sum(floor(abs(value))::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS ovt FROM events"),

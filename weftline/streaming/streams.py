@@ -8,6 +8,7 @@ rolled back.
 
 from __future__ import annotations
 
+import bisect
 import json
 from collections.abc import Callable, Iterator
 
@@ -31,10 +32,13 @@ def _folder(path: str) -> str:
     return f"{head}/{name[:-1]}[{name[-1]}]"
 
 
-def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns what it put out, from the shared folder."""
+def run_to_end(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there and returns what it put out, from the shared folder.
+
+    folder: where a run before has left its checkpoint and output; this one goes on there.
+    """
     spark = stream.sparkSession
-    folder = new_folder(spark)
+    folder = folder or new_folder(spark)
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{folder}/out").outputMode("append").start().awaitTermination()
@@ -82,6 +86,35 @@ def quiescent(before: DataFrame, after: DataFrame) -> bool:
     return tuple(a) == tuple(b) and a[0] == a[1]
 
 
+def optimistic_fold(events: DataFrame, key: str, time: str, arrival: str, value: str, step: Callable[[float, float], float]) -> DataFrame:
+    """(key, events, rollbacks, undone, state): each object's events taken as they arrive, and undone where an earlier one comes late.
+
+    An object keeps its state before every event. An event older than the last
+    one taken rolls the object back to its place: the events after it are undone
+    and taken again. What is left equals the fold in order of time. Of equal
+    times, the one that arrived first goes first. The history of one object is
+    one task's, as every state follows from the one before.
+    """
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("at")
+        times, values, before = [], [], [0.0]
+        rollbacks = undone = 0
+        for t, v in zip(f["t"], f["v"], strict=True):
+            place = bisect.bisect_right(times, t)
+            rollbacks += place < len(times)
+            undone += len(times) - place
+            times.insert(place, t)
+            values.insert(place, v)
+            del before[place + 1 :]
+            for x in values[place:]:
+                before.append(step(before[-1], x))
+        return pd.DataFrame({key: [f[key].iat[0]], "events": [len(f)], "rollbacks": [rollbacks], "undone": [undone], "state": [before[-1]]})
+
+    rows = events.select(F.col(key).cast("long").alias(key), F.col(time).cast("timestamp").alias("t"), F.col(arrival).alias("at"), F.col(value).cast("double").alias("v"))
+    return rows.groupBy(key).applyInPandas(run, f"`{key}` long, events long, rollbacks long, undone long, state double")
+
+
 def event_time_fold(events: DataFrame, key: str, time: str, value: str, step: Callable[[float, float], float], delay: str = "1 hour") -> DataFrame:
     """(key, events, state): each object's events folded in order of their time, as batches arrive.
 
