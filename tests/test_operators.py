@@ -208,3 +208,49 @@ def test_optimistic_fold_ends_as_the_sequential_one(spark):
             s = step(s, r[3])
         later = [sum(b[1] > a[1] for b in own if b[2] < a[2]) for a in own]
         assert (got[obj].state, got[obj].undone, got[obj].rollbacks) == (s, sum(later), sum(n > 0 for n in later))
+
+
+def test_receives_take_the_first_message_that_fits(spark):
+    sends = spark.createDataFrame([(0, 1, 5, 10), (0, 2, 5, 11), (0, 1, 6, 12), (1, 1, 5, 13)], "dst long, source long, tag long, send_id long")
+    recvs = spark.createDataFrame([(0, 2, None, 1), (0, None, 6, 2), (0, None, None, 3), (0, None, None, 4), (1, 2, 5, 5)], "dst long, source long, tag long, recv_id long")
+    assert sorted(map(tuple, C.match_any(sends, recvs).collect())) == [(0, 10, 3), (0, 11, 1), (0, 12, 2)]
+
+
+def test_refined_triangles_fit_together(spark):
+    from weftline.plans import registry
+
+    got = registry.queries()["refine_triangles"](spark, "").collect()
+
+    def place(name):  # of a grid node, or of the middle of two
+        if not name.startswith("("):
+            return int(name) % 13, int(name) // 13
+        depth = 0
+        for k, c in enumerate(name):
+            depth += (c == "(") - (c == ")")
+            if c == " " and depth == 1:
+                (x, y), (u, v) = place(name[1:k]), place(name[k + 1 : -1])
+                return (x + u) / 2, (y + v) / 2
+
+    area, seen = 0.0, {}
+    for r in got:
+        (x, y), (u, v), (p, q) = (place(n) for n in (r.a, r.b, r.c))
+        area += ((u - x) * (q - y) - (p - x) * (v - y)) / 2
+        for e in ((r.a, r.b), (r.b, r.c), (r.c, r.a)):
+            seen[e] = seen.get(e, 0) + 1
+    assert area == 144 and set(seen.values()) == {1}
+    rim = lambda e: any({place(e[0])[k], place(e[1])[k]} in ({0}, {12}) for k in (0, 1))
+    assert all(((b, a) in seen) != rim((a, b)) for a, b in seen)  # no node on one side of an edge only
+    assert sum(r.part == 3 for r in got) >= 23
+
+
+def test_refined_tetrahedra_keep_the_volume(spark):
+    from weftline.operators import refine as N
+
+    corner = {"0": (0, 0, 0), "1": (2, 0, 0), "2": (0, 2, 0), "3": (0, 0, 2)}
+
+    def place(name):
+        return np.array(corner[name]) if name in corner else (place(name[1]) + place(name[3])) / 2
+
+    d = spark.createDataFrame([(7, "0", "1", "2", "3")], "elem long, a string, b string, c string, d string")
+    volumes = [abs(np.linalg.det(np.stack([place(r[n]) - place(r["a"]) for n in "bcd"]))) / 6 for r in N.refine_tets(d).collect()]
+    assert np.allclose(volumes, 8 / 6 / 8) and len(volumes) == 8

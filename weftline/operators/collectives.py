@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +111,71 @@ def cart_shift(rank: Column, dims: Sequence[int], axis: int, by: int, periodic:
     return F.when(inside, cart_rank(coords, dims))
 
 
+def cart_sub(rank: Column, dims: Sequence[int], keep: Sequence[bool]) -> tuple[Column, Column]:
+    """(number of the sub-grid, rank in it) where only the dimensions to keep are left; sub-grids are numbered by the others."""
+    coords = cart_coords(rank, dims)
+    split = lambda wanted: ([c for c, k in zip(coords, keep, strict=True) if k == wanted], [n for n, k in zip(dims, keep, strict=True) if k == wanted])
+    return cart_rank(*split(False)), cart_rank(*split(True))
+
+
+def in_ranges(rank: Column, ranges: Sequence[tuple[int, int, int]]) -> Column:
+    """Whether a rank lies in one of the ranges (first, last, step), last included, steps of either sign."""
+    out = F.lit(False)
+    for first, last, step in ranges:
+        out = out | (rank.between(min(first, last), max(first, last)) & ((rank - first) % step == 0))
+    return out
+
+
+def neighbor_alltoall(edges: DataFrame) -> DataFrame:
+    """(src, dst, sent, got): the place of each edge among those of its sender and of its receiver, from 0."""
+    place = lambda a, b: (F.row_number().over(Window.partitionBy(a).orderBy(b)) - 1).cast("long")
+    return edges.select("src", "dst", place("src", "dst").alias("sent"), place("dst", "src").alias("got"))
+
+
+def match_any(sends: DataFrame, receives: DataFrame) -> DataFrame:
+    """(dst, send_id, recv_id): each receive, in order, takes the first message not yet taken that fits; a null source or tag fits all.
+
+    sends: (dst, source, tag, send_id), receives: (dst, source, tag, recv_id). What
+    one destination receives depends on all it has received before, so it is one
+    task's; waiting messages are held by source and tag.
+    """
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        waiting: dict[tuple[int, int], list[int]] = {}
+        sent = f[f["recv_id"].isna()].sort_values("send_id")
+        for s, t, k in zip(sent["source"].astype(int), sent["tag"].astype(int), sent["send_id"].astype(int), strict=True):
+            waiting.setdefault((s, t), []).append(k)
+        first, out = dict.fromkeys(waiting, 0), []
+        wanted = f[f["recv_id"].notna()].sort_values("recv_id")
+        for s, t, k in zip(wanted["source"], wanted["tag"], wanted["recv_id"].astype(int), strict=True):
+            fits = [x for x, q in waiting.items() if first[x] < len(q) and (pd.isna(s) or x[0] == s) and (pd.isna(t) or x[1] == t)]
+            if fits:
+                x = min(fits, key=lambda x: waiting[x][first[x]])
+                out.append((f["dst"].iat[0], waiting[x][first[x]], k))
+                first[x] += 1
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 3), columns=["dst", "send_id", "recv_id"])
+
+    kinds = lambda d, *more: d.select(*(F.col(c).cast("long").alias(c) for c in ("dst", "source", "tag")), *(F.lit(None).cast("long").alias(c) if c not in d.columns else F.col(c).cast("long").alias(c) for c in more))
+    both = kinds(sends, "send_id", "recv_id").unionByName(kinds(receives, "send_id", "recv_id"))
+    return both.groupBy("dst").applyInPandas(run, "dst long, send_id long, recv_id long")
+
+
+def indexed_place(pos: Column, blocks: Sequence[tuple[int, int]], extent: int) -> Column:
+    """The packed place of an element of a type of blocks (place, length) that is repeated every ``extent``; null outside."""
+    inside, total, out = pos % extent, sum(n for _, n in blocks), F.lit(None).cast("long")
+    before = 0
+    for at, n in blocks:
+        out = F.when((inside >= at) & (inside < at + n), F.floor(pos / extent) * total + before + inside - at).otherwise(out)
+        before += n
+    return out.cast("long")
+
+
+def block_cyclic(pos: Column, block: int, ranks: int) -> tuple[Column, Column]:
+    """(owner, place there) of an element of an array dealt out in blocks, in turn."""
+    nth = F.floor(pos / block)
+    return (nth % ranks).cast("long"), (F.floor(nth / ranks) * block + pos % block).cast("long")
+
+
 def neighbor_allgather(values: DataFrame, edges: DataFrame, rank: str, value: str, out: str) -> DataFrame:
     """(dst, src, value) along the edges of a graph: what each rank gets from its neighbours."""
     return edges.join(values.select(F.col(rank).alias("src"), F.col(value).alias(out)), "src")

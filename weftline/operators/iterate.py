@@ -37,14 +37,17 @@ def kmeans(points: DataFrame, vector: str, seeds: Sequence[Sequence[float]], rou
     return means, rounds
 
 
-def jacobi(grid: DataFrame, n: int, rounds: int, threshold: float) -> tuple[DataFrame, int]:
-    """Five-point relaxation of (i, j, v) on n x n cells, edges fixed; ends when no cell moves by the threshold."""
-    state = cut(grid)
+def jacobi(grid: DataFrame, n: int, rounds: int, threshold: float, axes: Sequence[str] = ("i", "j")) -> tuple[DataFrame, int]:
+    """Relaxation of a field (axes..., v) of n cells a side by each cell's mean with its neighbours along the axes, five in a plane, seven in a cube; edges fixed; ends when no cell moves by the threshold."""
+    state, axes = cut(grid), list(axes)
+    offsets = [dict.fromkeys(axes, 0), *(dict.fromkeys(axes, 0) | {a: d} for a in axes for d in (1, -1))]
+    inner = F.lit(True)
+    for a in axes:
+        inner = inner & F.col(a).between(1, n - 2)
     for k in range(1, rounds + 1):
-        to = F.explode(F.array(*(F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a, b in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))))).alias("to")
-        around = state.select(to, "v").groupBy("to.i", "to.j").agg(F.avg("v").alias("m"))
-        inner = F.col("i").between(1, n - 2) & F.col("j").between(1, n - 2)
-        new = cut(state.join(around, ["i", "j"]).select("i", "j", F.when(inner, F.col("m")).otherwise(F.col("v")).alias("v"), F.abs(F.when(inner, F.col("m") - F.col("v")).otherwise(0.0)).alias("d")))
+        to = F.explode(F.array(*(F.struct(*((F.col(a) + d).alias(a) for a, d in off.items())) for off in offsets))).alias("to")
+        around = state.select(to, "v").groupBy(*(f"to.{a}" for a in axes)).agg(F.avg("v").alias("m"))
+        new = cut(state.join(around, axes).select(*axes, F.when(inner, F.col("m")).otherwise(F.col("v")).alias("v"), F.abs(F.when(inner, F.col("m") - F.col("v")).otherwise(0.0)).alias("d")))
         done = new.agg(F.bool_and(F.col("d") < threshold)).first()[0]
         state = new.drop("d")
         if done:

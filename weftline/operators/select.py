@@ -74,6 +74,14 @@ def ordered_ranks(df: DataFrame, by: Sequence[str], out: str = "rank") -> DataFr
     return ranked.select(*names, (F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias(out))
 
 
+def median_halves(df: DataFrame, by: str, order: Sequence[str], out: str = "upper") -> DataFrame:
+    """Whether a row lies above the median place of its group; groups may be of any size, as ranks are those of the whole table."""
+    ranked = cut(ordered_ranks(df, [by, *order], "_rank"))
+    groups = ranked.groupBy(F.col(by).alias("_by")).agg(F.min("_rank").alias("_first"), F.count("*").alias("_n"))
+    met = ranked.join(groups, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    return met.withColumn(out, F.col("_rank") - F.col("_first") >= F.ceil(F.col("_n") / 2)).drop("_rank", "_first", "_n")
+
+
 def ordered_union(a: DataFrame, b: DataFrame, key: str, seq: str) -> DataFrame:
     """Members of a in its order, then those only in b in its order, as (key, turn) from 0."""
     both = a.select(key, F.lit(0).alias("_side"), seq).unionByName(b.select(key, F.lit(1).alias("_side"), seq))

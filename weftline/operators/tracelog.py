@@ -28,3 +28,12 @@ def nesting(log: DataFrame, by: Sequence[str], order: str, change: str) -> DataF
     """Adds the depth after each begin (+1) and end (-1)."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return log.withColumn("depth", F.sum(change).over(w))
+
+
+def matched_pairs(events: DataFrame, by: str, order: str, step: str) -> DataFrame:
+    """(by, level, begin_id, end_id): each begin (step 1) with the end (step -1) that brings the nesting back to where it was."""
+    after = F.sum(step).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = events.withColumn("level", (after + F.when(F.col(step) < 0, 1).otherwise(0)).cast("long"))
+    w = Window.partitionBy(by, "level").orderBy(order)
+    rows = rows.withColumns({"end_id": F.lead(order).over(w), "_next": F.lead(step).over(w)})
+    return rows.where((F.col(step) == 1) & (F.col("_next") == -1)).select(by, "level", F.col(order).alias("begin_id"), "end_id")

@@ -72,7 +72,10 @@ def branch_and_bound(spark, sf_dir):
     """The shortest tour of six cities."""
     n = len(_CITIES)
     dist = F.array(*(F.array(*(F.lit(float(((a - c) ** 2 + (b - d) ** 2) ** 0.5)) for c, d in _CITIES)) for a, b in _CITIES))
-    least = min(((a - c) ** 2 + (b - d) ** 2) ** 0.5 for a, b in _CITIES for c, d in _CITIES if (a, b) != (c, d))
+    near = [sorted(((a - c) ** 2 + (b - d) ** 2) ** 0.5 for c, d in _CITIES if (a, b) != (c, d)) for a, b in _CITIES]
+    # half of the two shortest ways of each city still to come, and half of the shortest of the two ends
+    both, one = F.array(*(F.lit((x[0] + x[1]) / 2) for x in near)), F.array(*(F.lit(x[0] / 2) for x in near))
+    total = sum((x[0] + x[1]) / 2 for x in near)
     start = spark.range(1).select(F.array(F.lit(0)).alias("tour"), F.lit(0.0).alias("cost"))
 
     def expand(level):
@@ -80,7 +83,8 @@ def branch_and_bound(spark, sf_dir):
         return d.select(F.concat("tour", F.array("c")).alias("tour"), (F.col("cost") + dist[F.element_at("tour", -1)][F.col("c")]).alias("cost"))
 
     def bound(level):
-        return level.withColumn("bound", F.col("cost") + (n + 1 - F.size("tour")) * F.lit(least))
+        open_ = F.aggregate("tour", F.lit(total), lambda s, c: s - both[c])
+        return level.withColumn("bound", F.col("cost") + open_ + one[F.element_at("tour", -1)] + one[0])
 
     def finished(level):
         return level.where(F.size("tour") == n).select((F.col("cost") + dist[F.element_at("tour", -1)][0]).alias("cost"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that define SPECS: name -> (callable, SQL or None).
-MODULES = ["reductions", "collectives", "selection", "scalars", "meshes", "iterations", "streams"]
+MODULES = ["reductions", "collectives", "selection", "scalars", "meshes", "iterations", "streams", "further"]
 
 
 def _specs() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:

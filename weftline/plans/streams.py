@@ -85,7 +85,7 @@ def event_time_fold(spark, sf_dir):
 def event_time_stream(spark, sf_dir):
     """The same fold as a stream: an object is put out once the watermark has passed its last event."""
     d = T.stream_table(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("obj"), "ts", "value")
-    r = T.run_to_end(T.event_time_fold(d, "obj", "ts", "value", lambda s, v: s / 2 + v, "2 days"))
+    r = T.run_to_end(T.event_time_fold(d, "obj", "ts", "value", lambda s, v: s / 2 + v))
     return r.select("obj", "events", F.round("state", 6).alias("state"))
 
 
@@ -181,7 +181,7 @@ SPECS = {
     "event_time_fold": (event_time_fold, "SELECT user_id % 50 AS obj, count(*) AS events, round(list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY ts, value)), lambda s, v: s / 2 + v), 6) AS state FROM events GROUP BY 1"),
     "event_time_stream": (
         event_time_stream,
-        "WITH m AS (SELECT epoch_ms(max(ts)) - 2 * 86400000 AS w FROM events), f AS (SELECT user_id AS obj, count(*) AS events, max(epoch_ms(ts)) AS last, list_reduce(list_prepend(0.0::DOUBLE, list(value::DOUBLE ORDER BY ts, value)), lambda s, v: s / 2 + v) AS state FROM events GROUP BY 1) SELECT obj, events, round(state, 6) AS state FROM f, m WHERE last + 1 < w",
+        "WITH m AS (SELECT epoch_ms(max(ts)) - 3600000 AS w FROM events), f AS (SELECT user_id AS obj, count(*) AS events, max(epoch_ms(ts)) AS last, list_reduce(list_prepend(0.0::DOUBLE, list(value::DOUBLE ORDER BY ts, value)), lambda s, v: s / 2 + v) AS state FROM events GROUP BY 1) SELECT obj, events, round(state, 6) AS state FROM f, m WHERE last + 1 < w",
     ),
     "optimistic_fold": (
         optimistic_fold,
