@@ -16,9 +16,9 @@ from itertools import pairwise
 import numpy as np
 
 #: Pre-tokens in each of the two generations that a worker holds.
-CACHE = 400_000
+CACHE = 600_000
 #: Rows that are encoded at once, and pre-tokens in one string for the library.
-ENCODED_ROWS, JOINED = 512, 200
+ENCODED_ROWS, JOINED = 1024, 100
 # Letters, digits and the other characters of plain texts: those on whose classes all Unicode versions agree,
 # without combining marks and controls. Within them, the classes of the vocabularies' patterns can be written out.
 _LETTERS, _DIGITS, _OTHERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ", "0-9²³¹¼½¾", "!-/:-@\\[-`{-~¡-©«¬®-±´¶-¸»¿×÷–—‘-”…€"
