@@ -159,13 +159,13 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out, first, last = encoder(vocabulary), None, None, None
         width = 2 if max(enc.library.get_vocab_size(with_added_tokens=True) - 1, end_id) < 65536 else 4
-        end = np.array([end_id], np.uint32)
+        end = np.uint32(end_id).tobytes()
         for part in slices(batches, ENCODED_ROWS):
             for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
                 if out is None:
                     uri, f = create(folder, ".tok.zst")
                     out, first = Writer(f, width), doc
-                out.add(doc, np.concatenate((np.frombuffer(ids, np.uint32), end)))
+                out.add(doc, np.frombuffer(ids + end, np.uint32))
                 last = doc
         if out is not None:
             out.close()

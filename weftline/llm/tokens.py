@@ -16,7 +16,7 @@ from itertools import pairwise
 import numpy as np
 
 #: Pre-tokens in each of the two generations that a worker holds.
-CACHE = 600_000
+CACHE = 1_000_000
 #: Rows that are encoded at once, and pre-tokens in one string for the library.
 ENCODED_ROWS, JOINED = 1024, 100
 # Letters, digits and the other characters of plain texts: those on whose classes all Unicode versions agree,
