@@ -31,6 +31,8 @@ from weftline.llm.text import slices
 from weftline.llm.tokens import ENCODED_ROWS, encoder
 
 FRAME_IDS = 1 << 16
+#: Pre-tokens in each generation of a writing worker's cache.
+CACHED = 1_000_000
 _INDEX_MAGIC, _TABLE_MAGIC, _FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _FOOT = struct.Struct("<IBI")
 _PART = np.dtype([("doc", "<i8"), ("n", "<u4"), ("flags", "u1")])
@@ -157,7 +159,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
     rows = rows.withColumn("turn", F.monotonically_increasing_id()).repartitionByRange("d", "turn").sortWithinPartitions("d", "turn").select("d", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, first, last = encoder(vocabulary), None, None, None
+        enc, out, first, last = encoder(vocabulary, CACHED), None, None, None
         width = 2 if max(enc.library.get_vocab_size(with_added_tokens=True) - 1, end_id) < 65536 else 4
         end = np.uint32(end_id).tobytes()
         for part in slices(batches, ENCODED_ROWS):

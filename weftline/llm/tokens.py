@@ -15,8 +15,8 @@ from itertools import pairwise
 
 import numpy as np
 
-#: Pre-tokens in each of the two generations that a worker holds.
-CACHE = 1_000_000
+#: Pre-tokens in each of the two generations that a worker holds, if nothing else is said: some 80 MB each.
+CACHE = 400_000
 #: Rows that are encoded at once, and pre-tokens in one string for the library.
 ENCODED_ROWS, JOINED = 1024, 100
 # Letters, digits and the other characters of plain texts: those on whose classes all Unicode versions agree,
@@ -37,7 +37,7 @@ _LOADED: dict[str, Encoder] = {}
 class Encoder:
     """Encodes batches of texts as uint32 ids, as ``Tokenizer.encode_batch(texts, add_special_tokens=False)`` does."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -56,6 +56,7 @@ class Encoder:
             self.kind = "word_end"
         else:
             self.kind = ""
+        self.most = most
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -87,7 +88,7 @@ class Encoder:
         cut = [self.words(t) for t in texts]
         rest = iter(self._whole([t for t, words in zip(texts, cut, strict=True) if words is None]))
         need = set().union(*(words for words in cut if words))
-        if len(self.cache) > CACHE:
+        if len(self.cache) > self.most:
             self.cache, self.older = {}, self.cache
         need.difference_update(self.cache)
         if self.older:
@@ -99,8 +100,9 @@ class Encoder:
         return [next(rest) if words is None else b"".join(map(get, words)) for words in cut]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = CACHE) -> Encoder:
     """The worker's encoder of a vocabulary file."""
     if path not in _LOADED:
         _LOADED[path] = Encoder(path)
+    _LOADED[path].most = most
     return _LOADED[path]
